@@ -7,24 +7,36 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, tokens
+from . import decontaminate, neardup, pii, quality, tokens
 from .common import table
 from .oracle import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
         return tokens.digest(table(spark, sf_dir, "documents"), f.read())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontaminate, op10_tokens)}
+    return {f.__name__: f for f in (op1_pii, op2_quality, op5_decontaminate, op8_neardup, op10_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
