@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, pii, quality, tokens
+from . import decontaminate, mixing, neardup, pii, quality, rules, sharding, tokens
 from .common import table
 from .oracle import ORACLES
 
@@ -26,17 +26,29 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
         return tokens.digest(table(spark, sf_dir, "documents"), f.read())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality, op5_decontaminate, op8_neardup, op10_tokens)}
+    return {f.__name__: f for f in (op1_pii, op2_quality, op5_decontaminate, op6_shard, op7_rules, op8_neardup, op9_mix, op10_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
