@@ -27,4 +27,34 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op5_decontaminate": OP5}
+OP4 = r"""
+WITH t AS (SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS x
+           FROM conversations GROUP BY conv_id),
+c AS (SELECT conv_id, list_transform(x, lambda v: {'role': v.role, 'text': v.text}) AS turns FROM t),
+k AS (SELECT conv_id, turns, turns[1] AS first,
+             row_number() OVER (PARTITION BY turns[1] ORDER BY len(turns) DESC, list_sum(list_transform(turns, lambda v: length(v.text))) DESC,
+                                conv_id NULLS LAST) AS rn FROM c),
+p AS (SELECT k.conv_id, b.conv_id AS chosen_id, b.turns AS a, CASE WHEN k.rn > 1 THEN k.turns END AS r
+      FROM k JOIN k b ON k.first = b.first AND b.rn = 1),
+n AS (SELECT *, CASE WHEN r IS NULL
+                     THEN coalesce(list_max(list_filter(range(0, len(a)), lambda i: a[i + 1].role = 'assistant')), len(a) - 1)
+                     ELSE list_filter(range(0, least(len(a), len(r)) + 1),
+                                      lambda i: i = least(len(a), len(r)) OR a[i + 1] <> r[i + 1])[1] END AS m FROM p),
+s AS (SELECT conv_id, chosen_id, m, a[1:m] AS q, a[m + 1:] AS ca, CASE WHEN r IS NOT NULL THEN r[m + 1:] END AS cr FROM n),
+f AS (SELECT *, list_transform(ca, lambda v: concat('<|', v.role, '|>\n', v.text, '<|end|>\n')) AS sa,
+                list_transform(cr, lambda v: concat('<|', v.role, '|>\n', v.text, '<|end|>\n')) AS sr FROM s)
+SELECT conv_id, chosen_id, CAST(m AS INTEGER) AS prompt_turns,
+       array_to_string(list_transform(q, lambda v: concat('<|', v.role, '|>\n', v.text, '<|end|>\n')), '') AS prompt,
+       array_to_string(sa, '') AS chosen_text,
+       array_to_string(list_transform(list_filter(range(1, len(ca) + 1), lambda i: ca[i].role = 'assistant'), lambda i:
+           concat(length(array_to_string(sa[1:i - 1], '')) + length(ca[i].role) + 5, ':', length(array_to_string(sa[1:i], '')))), ',') AS chosen_spans,
+       CASE WHEN cr IS NOT NULL THEN array_to_string(sr, '') END AS rejected_text,
+       CASE WHEN cr IS NOT NULL THEN
+       array_to_string(list_transform(list_filter(range(1, len(cr) + 1), lambda i: cr[i].role = 'assistant'), lambda i:
+           concat(length(array_to_string(sr[1:i - 1], '')) + length(cr[i].role) + 5, ':', length(array_to_string(sr[1:i], '')))), ',') END AS rejected_spans
+FROM f
+""".replace("\\n", "' || chr(10) || '")
+
+SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {"op4_preferences": OP4, "op5_decontaminate": OP5}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, pii, quality, rules, sharding, tokens
+from . import decontaminate, links, mixing, neardup, pii, preferences, quality, rules, sharding, tokens
 from .common import table
 from .oracle import ORACLES
 
@@ -22,6 +22,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.digest(table(spark, sf_dir, "pages"))
+
+
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.digest(table(spark, sf_dir, "conversations"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +56,19 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality, op5_decontaminate, op6_shard, op7_rules, op8_neardup, op9_mix, op10_tokens)}
+    found = (
+        op1_pii,
+        op2_quality,
+        op3_links,
+        op4_preferences,
+        op5_decontaminate,
+        op6_shard,
+        op7_rules,
+        op8_neardup,
+        op9_mix,
+        op10_tokens,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
