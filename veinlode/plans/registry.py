@@ -1,4 +1,7 @@
-"""All queries of the reference's own operators, with the SQL that checks them."""
+"""All queries of the reference's own operators, with the SQL that checks them.
+
+Each query applies operators to whole tables. Its DuckDB twin states the same result independently.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +9,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "scan_documents"
+Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "gr04_module_coupling"
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the DuckDB statement of the same rows if there is one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
-def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+def load() -> None:
+    from . import evaluation_queries, graph_queries, history_queries, model_queries, stream_queries, text_queries  # noqa: F401
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"scan_documents": scan_documents}
+def queries() -> dict[str, Query]:
+    load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"scan_documents": "SELECT doc_id, lang, source, n_chars FROM documents"}
+    load()
+    return dict(ORACLES)
