@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store import cut
+
 
 def packages(files: DataFrame) -> DataFrame:
     """AX02: (snapshot_id, folder) of the folders with an __init__.py."""
@@ -43,7 +45,8 @@ def unique_names(found: DataFrame, name: str) -> DataFrame:
 def resolve(uses: DataFrame, found: DataFrame, facts: DataFrame, rounds: int = 5) -> DataFrame:
     """AX16, AX17: ``uses`` (snapshot_id, id, target, ...) with ``to`` and ``to_type``; names follow re-exports.
 
-    In each round a name that no node has is looked up as an alias, by its longest prefix that is one.
+    In each round a name that no node has is looked up as an alias, by its longest prefix that is one; the rounds end
+    when none is.
     """
     names = unique_names(found, "qualified_name").withColumnRenamed("qualified_name", "target")
     alias = facts.where("kind = 'alias'").select("snapshot_id", F.col("qualified_name").alias("_from"), F.col("target").alias("_onto")).distinct()
@@ -53,7 +56,9 @@ def resolve(uses: DataFrame, found: DataFrame, facts: DataFrame, rounds: int = 5
         known = keys.join(names.select("snapshot_id", F.col("target").alias("_at"), F.lit(True).alias("_is")), ["snapshot_id", "_at"], "left")
         parts = known.where("_is IS NULL").withColumn("_p", F.split("_at", r"\.")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_p"))))
         parts = parts.withColumn("_from", F.concat_ws(".", F.slice("_p", 1, F.col("_k"))))
-        hit = parts.join(alias, ["snapshot_id", "_from"]).where(F.col("_onto") != F.col("_from"))
+        hit = cut(parts.join(alias, ["snapshot_id", "_from"]).where(F.col("_onto") != F.col("_from")))
+        if hit.isEmpty():
+            break
         rest = F.concat_ws(".", F.slice("_p", F.col("_k") + 1, F.size("_p")))
         new = F.when(rest == "", F.col("_onto")).otherwise(F.concat_ws(".", "_onto", rest))
         moved = hit.groupBy("snapshot_id", "target").agg(F.max_by(new, "_k").alias("_new"))
@@ -78,13 +83,14 @@ def edges(facts: DataFrame, found: DataFrame) -> DataFrame:
     outside = F.concat(F.lit("external:"), F.coalesce("from_module", "target"))
     imports = imports.withColumn("to", F.coalesce("_a", "_b", outside))
     retype = lambda kind: F.when(F.col("to_type") == "global_variable", "ACCESSES_GLOBAL").otherwise(kind)
-    calls = resolve(facts.where("kind = 'call'").select("snapshot_id", "id", "name", "target", "via_import"), found, facts)
+    uses = facts.where("kind IN ('call', 'inherit', 'global')").select("snapshot_id", "id", "kind", "name", "target", "via_import")
+    uses = cut(resolve(uses, found, facts))
+    calls = uses.where("kind = 'call'")
     short = unique_names(found.where("type IN ('function', 'method', 'class')"), "name").select("snapshot_id", "name", F.col("_id").alias("_sid"), F.col("_type").alias("_stype"))
     calls = calls.join(short, ["snapshot_id", "name"], "left")
     loose = F.col("to").isNull() & ~F.coalesce("via_import", F.lit(False))
     calls = calls.withColumn("to_type", F.when(loose, F.col("_stype")).otherwise(F.col("to_type"))).withColumn("to", F.when(loose, F.col("_sid")).otherwise(F.col("to")))
-    bases = resolve(facts.where("kind = 'inherit'").select("snapshot_id", "id", "target"), found, facts)
-    uses = resolve(facts.where("kind = 'global'").select("snapshot_id", "id", "target"), found, facts).where("to_type = 'global_variable'")
+    bases, uses = uses.where("kind = 'inherit'"), uses.where("kind = 'global' AND to_type = 'global_variable'")
     parts = [contains, row(imports, F.lit("IMPORTS")), row(calls, retype("CALLS")), row(bases, retype("INHERITS")), row(uses, F.lit("ACCESSES_GLOBAL"))]
     out = parts[0]
     for p in parts[1:]:
