@@ -9,12 +9,13 @@ coordinates concentrates around the Jaccard similarity as with independent hash
 sets need one round or two.
 
 ``BANDS`` bands of ``ROWS`` coordinates propose candidates: a pair of similarity 0.8 misses all
-32 bands of 4 with probability 5e-8. Pairs within a bucket are not listed. First each member is
+32 bands of 4 with probability 5e-8. Pairs within a bucket are never listed. First each member is
 verified against two leaders of each of its buckets (a star, linear in the bucket), and links
-give components. Only buckets that still hold several components go on: there, members of
-different components whose sketches agree enough (``LEAST_AGREE``, four standard deviations under
-0.8) are verified too, in blocks of ``block`` members, so that no task holds a whole large bucket.
-No cap drops a candidate.
+give components. Buckets that still hold several components go on: a member whose sketch agrees
+enough with a member of a larger component (``LEAST_AGREE`` coordinates, four standard deviations
+under 0.8) becomes a visitor of that component. A component's full sets lie in blocks of ``HOSTS``,
+and every visitor is compared with every block, so a near miss costs a row per block, not per
+pair, and no task holds a whole large bucket or component. No cap drops a candidate.
 
 Every link is confirmed on the full sets of 64-bit shingle hashes: 100 * common >= 80 * union.
 
@@ -26,7 +27,7 @@ with a null id are linked with nothing, have a null component and are kept.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -126,20 +127,22 @@ def sketched(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, ids: DataFrame, size: int) -> DataFrame:
-    """(id, shingles as an array of longs) of the rows whose id is in ``ids``."""
+    """(id, shingles as an array of longs) of the rows whose id is in ``ids``.
+
+    The ids may be a third of all, so they are not broadcast, whatever their number here: texts are dealt by id.
+    """
 
     def make() -> Callable:
         shingles = Shingles(size)
         return lambda batch: ([[shingles.of(raw).view(np.int64) for raw in batch["text"].to_pylist()]], None)
 
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    rows = rows.hint("merge").join(ids.hint("merge"), "id", "left_semi")
     return map_batches(rows, {"text": F.col("text")}, ["id"], [("shingles", T.ArrayType(T.LongType()))], make)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * common >= percent * union."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = materialise(shingle_sets(docs, doc_id, text, ids, size))
     one = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     two = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
@@ -149,25 +152,54 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, size: in
     return pairs.join(one, "u").join(two, "v").where(fits).select("u", "v")
 
 
-def agreeing(block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For the members of one block pair of a bucket: the pairs of different components whose sketches agree enough."""
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        left = group[group.side <= 1]
-        right = group[group.side >= 1]  # side 1: both, within a block
-        within = bool((group.side == 1).any())
-        a = np.frombuffer(b"".join(left.sketch), dtype=np.uint32).reshape(-1, COORDS)
-        b = np.frombuffer(b"".join(right.sketch), dtype=np.uint32).reshape(-1, COORDS)
-        la, lb, ia, ib = left.component.to_numpy(), right.component.to_numpy(), left.rep.to_numpy(), right.rep.to_numpy()
-        us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for k in range(len(a)):
-            at = np.flatnonzero((lb != la[k]) & ((ib > ia[k]) if within else True))
-            at = at[(b[at] == a[k]).sum(1) >= LEAST_AGREE]
-            us.append(np.minimum(ib[at], ia[k]))
-            vs.append(np.maximum(ib[at], ia[k]))
-        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-
-    return pairs
+def agreeing(group: pd.DataFrame) -> pd.DataFrame:
+    """For one block pair of a bucket: (node, host) where a node's sketch agrees enough with one of a larger component.
+
+    Of components of one size the one with the smaller id counts as larger. Side 0 and 2 are the two blocks; 1 is
+    a block that meets itself.
+    """
+    left, right = group[group.side <= 1], group[group.side >= 1]
+    nodes, hosts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for one, other in [(left, right)] + [(right, left)] * bool((group.side != 1).any()):
+        if not len(one) or not len(other):
+            continue
+        b = np.frombuffer(b"".join(other.sketch), dtype=np.uint32).reshape(-1, COORDS)
+        comps, sizes = other.component.to_numpy(), other["size"].to_numpy()
+        for raw, comp, size, rep in zip(one.sketch, one.component, one["size"], one.rep):
+            at = np.flatnonzero((comps != comp) & ((sizes > size) | ((sizes == size) & (comps < comp))))
+            if len(at):
+                found = np.unique(comps[at[(b[at] == np.frombuffer(raw, dtype=np.uint32)).sum(1) >= LEAST_AGREE]])
+                nodes.append(np.full(len(found), rep, dtype=np.int64))
+                hosts.append(found)
+    return pd.DataFrame({"node": np.concatenate(nodes), "host": np.concatenate(hosts)})
+
+
+def visits(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For one block of a component: the first member that each visitor is linked with."""
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        own, guests = group[~group.guest], group[group.guest]
+        if not len(own) or not len(guests):
+            return pd.DataFrame({"u": np.zeros(0, dtype=np.int64), "v": np.zeros(0, dtype=np.int64)})
+        lengths = np.array([len(x) for x in own.shingles])
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        all_ = np.concatenate(list(own.shingles))
+        names, us, vs = own.rep.to_numpy(), [], []
+        for rep, mine in zip(guests.rep, guests.shingles):
+            mine = np.sort(mine)
+            at = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
+            common = np.add.reduceat((mine[at] == all_).astype(np.int64), starts)
+            good = np.flatnonzero(100 * common >= percent * (lengths + len(mine) - common))
+            if len(good):
+                us.append(rep)
+                vs.append(names[good[0]])
+        return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
+
+    return links
+
+
+#: Full sets of one component that a task compares with its visitors.
+HOSTS = 200
 
 
 def find_groups(
@@ -183,27 +215,13 @@ def find_groups(
     bands = classes.select("rep", F.explode(F.array(*keys)).alias("bucket"))
     heads = bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = materialise(bands.join(heads, "bucket"))  # of buckets with several texts
+    sets = materialise(shingle_sets(docs, doc_id, text, members.select(F.col("rep").alias("id")).distinct(), size))
 
     stars = members.select("rep", F.explode(F.array("low", "high")).alias("head")).where("rep <> head")
-    tried = materialise(stars.select(F.least("rep", "head").alias("u"), F.greatest("rep", "head").alias("v")).distinct())
-    links = materialise(verified(tried, docs, doc_id, text, size, percent))
+    tried = stars.select(F.least("rep", "head").alias("u"), F.greatest("rep", "head").alias("v")).distinct()
+    links = materialise(verified(tried, sets, percent))
     found = components(links)
-
-    label = members.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    label = label.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = label.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).where("a < b")
-    open_ = materialise(open_.select("bucket", F.ceil(F.col("k") / block).cast("int").alias("blocks")))
-    inside = label.join(open_, "bucket").join(classes.select("rep", "sketch"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")
-    # Block i meets block j once, as task (i, j) with i <= j; a bucket of one block is one task.
-    spread = inside.select("bucket", "rep", "component", "sketch", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select(
-        "bucket", "rep", "component", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"),
-    )
-    more = spread.groupBy("bucket", "i", "j").applyInPandas(agreeing(block), "u long, v long").distinct()
-    more = materialise(more.join(tried, ["u", "v"], "left_anti"))
-    late = materialise(verified(more, docs, doc_id, text, size, percent))
+    late = materialise(visitors(members, classes, sets, found, percent, block))
     if not late.isEmpty():
         found = components(links.union(late))
 
@@ -213,6 +231,33 @@ def find_groups(
     return done.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
+def visitors(members: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (u, v) between the components ``found`` so far."""
+    label = members.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    label = label.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    open_ = label.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("k")).where("a < b")
+    open_ = open_.select("bucket", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+    label = materialise(label.join(open_, "bucket", "left"))
+    sizes = materialise(label.select("rep", "component").distinct().groupBy("component").agg(F.count("*").alias("size")))
+    inside = label.where("blocks IS NOT NULL").join(sizes, "component").join(classes.select("rep", "sketch"), "rep")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")
+    # Block i meets block j once, as task (i, j) with i <= j; a bucket of one block is one task.
+    kept = ["bucket", "rep", "component", "size", "sketch"]
+    spread = inside.select(*kept, own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side")
+    spread = spread.select(*kept, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side)
+    near = materialise(spread.groupBy("bucket", "i", "j").applyInPandas(agreeing, "node long, host long").distinct())
+
+    blocks = F.ceil(F.col("size") / HOSTS).cast("int").alias("blocks")
+    hosts = near.select(F.col("host").alias("component")).distinct().join(sizes, "component").select("component", blocks)
+    homes = label.select("rep", "component").distinct().join(hosts, "component")
+    homes = homes.select("component", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", F.lit(False).alias("guest"))
+    guests = near.select(F.col("node").alias("rep"), F.col("host").alias("component")).join(hosts, "component")
+    guests = guests.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", F.lit(True).alias("guest"))
+    both = homes.union(guests).join(sets.withColumnRenamed("id", "rep"), "rep")
+    return both.groupBy("component", "block").applyInPandas(visits(percent), "u long, v long").distinct()
+
+
 def drop_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each group, the one with the smallest id, with its columns as they were; one row of repeated ids."""
     groups = find_groups(docs, doc_id=doc_id, text=text, **options)
