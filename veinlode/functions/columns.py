@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What the filters and scopes mean by automation, tests and excluded folders.
-BOTS = ["dependabot", "renovate", "github-actions", "pre-commit-ci", "greenkeeper", "snyk-bot"]
-EXCLUDED_DIRS = ["docs", "examples", "build", "dist", "vendor"]
-EXCLUDED_FILES = ["setup.py", "conf.py", "conftest.py"]
+# Accounts that count as automation, keywords of the semantic filter, and folders and files outside the scope.
+BOTS = ["dependabot", "dependabot[bot]", "github-actions", "github-actions[bot]", "renovate", "renovate[bot]", "renovate-bot"]
+KEYWORDS = ["refactor", "refactoring", "architecture", "architectural", "circular import", "circular dependency", "decouple", "decoupling"]
+EXCLUDED_DIRS = [
+    ".git", ".venv", "venv", "env", "__pycache__", ".tox", ".nox", "build", "dist", "node_modules", ".mypy_cache", ".pytest_cache",
+    "docs", "doc", "examples", "benchmarks",
+]
+EXCLUDED_FILES = ["setup.py", "conftest.py"]
 
 
 def is_automated(author: Column, bots: Sequence[str] = BOTS) -> Column:

@@ -8,8 +8,15 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import words
 
-# Words that queries and cards don't count.
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+# Words that the chat retriever doesn't count.
+STOPWORDS = (
+    "a an the is are was were be been of to in on for and or with by at as it its this that these those what which who whom why how "
+    "does do did can could would should will i me my we our you your about from into than then there their them they has have had not "
+    "no yes so if but"
+).split()
+# What counts as a number in an answer that is held against an attribution, and against cards.
+CLAIM = r"(?<![\w.])-?\d+(?:\.\d+)?(?!\w|\.\d)"
+CARD_CLAIM = r"(?<![\w.#/-])[-+]?\d+(?:\.\d+)?%?(?![\w/])"
 
 
 def tokens(text: Column, stop: bool) -> Column:
@@ -70,18 +77,43 @@ def mentioned_numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"#(\d+)"), F.lit(1)))
 
 
-def numbers(text: Column) -> Column:
-    """Numbers in a text, as strings."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0))
+def numbers(text: Column, pattern: str = CLAIM) -> Column:
+    """Numbers in a text, as strings, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)))
+
+
+def places(number: Column) -> Column:
+    return F.length(F.regexp_extract(number, r"\.(\d+)", 1))
 
 
 def supported(number: Column, values: Column) -> Column:
     """SF22: a value lies within half a unit of the number's last place."""
-    places = F.length(F.regexp_extract(number, r"\.(\d+)$", 1))
-    half = F.lit(0.5) / F.pow(F.lit(10.0), places) + 1e-9
+    half = F.lit(0.5) / F.pow(F.lit(10.0), places(number)) + 1e-12
     return F.exists(values, lambda v: F.abs(v - number.cast("double")) <= half)
 
 
-def unsupported(answer: Column, values: Column) -> Column:
-    """XR18, XR19: the answer's numbers that no value supports."""
-    return F.filter(F.array_distinct(numbers(answer)), lambda n: ~supported(n, values))
+def unsupported(answer: Column, values: Column, pattern: str = CLAIM) -> Column:
+    """XR18: the answer's numbers that no value supports."""
+    return F.filter(numbers(answer, pattern), lambda n: ~supported(n, values))
+
+
+def card_supported(number: Column, values: Column) -> Column:
+    """SF23: small whole numbers, a card's number, one that it shortens, or its percentage."""
+    plain = F.regexp_replace(number, "%$", "").cast("double")
+    size, n = F.abs(plain), places(number)
+
+    def fits(value: Column, digits: Column) -> Column:
+        unit = F.pow(F.lit(10.0), digits)
+        shortened = (value != 0) & (digits >= 1)
+        return F.exists(values, lambda v: (F.abs(value - F.abs(v)) <= 1e-9) | (shortened & (F.rint(F.abs(v) * unit) == F.rint(value * unit))))
+
+    small = (size <= 10) & (plain == F.rint(plain))
+    return small | fits(size, n) | (number.endswith("%") & fits(size / 100, n + 2))
+
+
+def check_answer(text: Column, cards: Column, values: Column) -> dict[str, Column]:
+    """XR19: citations in square brackets that aren't among the cards' ids, and numbers that no card supports."""
+    cited = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[([a-z]+:[^\]\s]+|dataset)\]"), F.lit(1)))
+    rest = F.regexp_replace(text, r"\[([a-z]+:[^\]\s]+|dataset)\]", " ")
+    wrong = F.filter(numbers(rest, CARD_CLAIM), lambda n: ~card_supported(n, values))
+    return {"citations": cited, "unknown_citations": F.array_except(cited, cards), "unsupported_numbers": wrong}

@@ -72,7 +72,7 @@ PATH = "replace(lower(p_type), ' ', '/') || CASE WHEN p_size % 5 = 0 THEN '/docs
 
 
 @query(f"""WITH x AS (SELECT p_partkey, {PATH} AS path FROM part), s AS (SELECT *, string_split(path, '/') AS p FROM x)
-SELECT p_partkey, path, p[-1] LIKE '%.py' AND p[-1] NOT IN ('setup.py', 'conf.py', 'conftest.py') AND NOT list_has_any(p[:-2], ['docs', 'examples', 'build', 'dist', 'vendor'])
+SELECT p_partkey, path, p[-1] LIKE '%.py' AND p[-1] NOT IN ('setup.py', 'conftest.py') AND NOT list_has_any(p[:-2], ['docs', 'doc', 'examples', 'build', 'dist', 'env'])
 AND NOT list_bool_or(list_transform(p, lambda v: v IN ('test', 'tests') OR v LIKE 'test\\_%' ESCAPE '\\')) AS production FROM s""".replace("\\\\", "\\"))
 def fl10_production_files(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size")
@@ -229,10 +229,10 @@ def xr17_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '-?\d+(?:\.\d+)?')) AS n FROM documents),
 x AS (SELECT doc_id, unnest(n) AS n FROM a) SELECT doc_id, count(*) AS unsupported FROM x
-WHERE NOT (abs(1 - n::DOUBLE) <= 0.5 / 10.0 ** length(regexp_extract(n, '\.(\d+)$', 1)) + 1e-9 OR abs(62.5 - n::DOUBLE) <= 0.5 / 10.0 ** length(regexp_extract(n, '\.(\d+)$', 1)) + 1e-9) GROUP BY 1""")
+WHERE NOT (abs(1 - n::DOUBLE) <= 0.5 / 10.0 ** length(regexp_extract(n, '\.(\d+)$', 1)) + 1e-12 OR abs(62.5 - n::DOUBLE) <= 0.5 / 10.0 ** length(regexp_extract(n, '\.(\d+)$', 1)) + 1e-12) GROUP BY 1""")
 def xr18_violations(spark: SparkSession, d: str) -> DataFrame:
     values = F.array(F.lit(1.0), F.lit(62.5))
-    found = table(spark, d, "documents").select("doc_id", F.size(rt.unsupported(F.col("text"), values)).cast("long").alias("unsupported"))
+    found = table(spark, d, "documents").select("doc_id", F.size(rt.unsupported(F.col("text"), values, r"-?\d+(?:\.\d+)?")).cast("long").alias("unsupported"))
     return found.where("unsupported > 0")
 
 
