@@ -11,7 +11,7 @@ from veinlode.llm import links, preferences
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op4_preferences", "op5_decontaminate"])
+@pytest.mark.parametrize("name", ["op4_preferences", "op5_decontaminate", "op7_rules", "op8_neardup"])
 def test_matches_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)

@@ -55,6 +55,38 @@ SELECT conv_id, chosen_id, CAST(m AS INTEGER) AS prompt_turns,
 FROM f
 """.replace("\\n", "' || chr(10) || '")
 
-SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+SPACED = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
-ORACLES: dict[str, str] = {"op4_preferences": OP4, "op5_decontaminate": OP5}
+OP7 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, text, {SPACED.format("text")} AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM m)),
+c AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM t) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM c GROUP BY doc_id),
+x AS (SELECT m.doc_id, text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+             greatest(len(w), 1) AS n FROM m LEFT JOIN r ON r.doc_id = m.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             n_words < 50 OR n_symbols > 0.3 * n OR len(regexp_extract_all(text, '\p{{Lu}}')) > 0.4 * greatest(length(text), 1)
+             OR len(regexp_extract_all(text, '\|')) > 0.2 * n OR len(regexp_extract_all(text, '[!?]{{2}}')) > 0.3 * n
+             OR NOT word_chars::DOUBLE / n BETWEEN 2 AND 25 OR n_dup_lines > 0.5 * n_lines AS rejected FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM f
+"""
+
+OP8 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPACED.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) > 1 THEN w[i] || ' ' || w[i + 1] ELSE w[1] END AS k
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+      WHERE 100 * least(na.n, nb.n) >= 80 * greatest(na.n, nb.n)
+      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id, least(d.doc_id, coalesce(c.b, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op4_preferences": OP4, "op5_decontaminate": OP5, "op7_rules": OP7, "op8_neardup": OP8}
