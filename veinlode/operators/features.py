@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import instability  # noqa: F401  (part of the feature vocabulary)
-
 
 def hotspots(files: DataFrame, changes: DataFrame, complexity: DataFrame) -> DataFrame:
     """FE11, FE12: (sample, total, most, hottest, mean_product) from (sample, file), (file, changes), (file, complexity)."""

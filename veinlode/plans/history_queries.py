@@ -10,7 +10,6 @@ from ..operators import splits as sp
 from ..operators import temporal as t
 from ..sources import store
 from ..sources.store import table
-from . import views as v
 from .registry import query
 
 
