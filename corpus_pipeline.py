@@ -20,7 +20,8 @@ SHARDS = 8
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    learnt = table(spark, sf_dir, "labels").where(~quality.held_out("doc_id"))
+    return quality.keep_good(docs, learnt)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
