@@ -162,7 +162,9 @@ def mix(
     past = F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start"))
     pieces = pieces.select(*KEY, "copy", "block", first.alias("first"), (past - first).alias("words"))
 
-    taken = slots(spark, draws(owed, shards, seed), n_blocks, seed).join(pieces, ["source_no", "block"])
+    # Slots are listed from a small table, whose size says nothing about theirs: never broadcast them.
+    listed = slots(spark, draws(owed, shards, seed), n_blocks, seed)
+    taken = listed.hint("merge").join(pieces.hint("merge"), ["source_no", "block"])
     return Mix(sources, rows, taken.select(*KEY, "copy", "shard", "slot", "pass", "first", "words"))
 
 
