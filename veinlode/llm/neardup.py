@@ -14,8 +14,8 @@ verified against two leaders of each of its buckets (a star, linear in the bucke
 give components. Buckets that still hold several components go on: a member whose sketch agrees
 enough with a member of a larger component (``LEAST_AGREE`` coordinates, four standard deviations
 under 0.8) becomes a visitor of that component. A component's full sets lie in blocks of ``HOSTS``,
-and every visitor is compared with every block, so a near miss costs a row per block, not per
-pair, and no task holds a whole large bucket or component. No cap drops a candidate.
+its visitors in chunks of ``GUESTS``, and every chunk meets every block, so a near miss costs a row per
+block, not per pair, and no task holds a whole large bucket or component. No cap drops a candidate.
 
 Every link is confirmed on the full sets of 64-bit shingle hashes: 100 * common >= 80 * union.
 
@@ -198,8 +198,8 @@ def visits(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return links
 
 
-#: Full sets of one component that a task compares with its visitors.
-HOSTS = 200
+#: Full sets of one component that a task compares with visitors, and visitors that it compares them with.
+HOSTS, GUESTS = 200, 1000
 
 
 def find_groups(
@@ -248,14 +248,18 @@ def visitors(members: DataFrame, classes: DataFrame, sets: DataFrame, found: Dat
     spread = spread.select(*kept, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side)
     near = materialise(spread.groupBy("bucket", "i", "j").applyInPandas(agreeing, "node long, host long").distinct())
 
-    blocks = F.ceil(F.col("size") / HOSTS).cast("int").alias("blocks")
-    hosts = near.select(F.col("host").alias("component")).distinct().join(sizes, "component").select("component", blocks)
+    hosts = near.groupBy(F.col("host").alias("component")).agg(F.count("*").alias("guests")).join(sizes, "component")
+    parts = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    hosts = hosts.select("component", parts("size", HOSTS).alias("blocks"), parts("guests", GUESTS).alias("chunks"))
+    some = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     homes = label.select("rep", "component").distinct().join(hosts, "component")
-    homes = homes.select("component", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", F.lit(False).alias("guest"))
+    homes = homes.select("component", some("blocks").alias("block"), each("chunks").alias("chunk"), "rep", F.lit(False).alias("guest"))
     guests = near.select(F.col("node").alias("rep"), F.col("host").alias("component")).join(hosts, "component")
-    guests = guests.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", F.lit(True).alias("guest"))
-    both = homes.union(guests).join(sets.withColumnRenamed("id", "rep"), "rep")
-    return both.groupBy("component", "block").applyInPandas(visits(percent), "u long, v long").distinct()
+    guests = guests.select("component", each("blocks").alias("block"), some("chunks").alias("chunk"), "rep", F.lit(True).alias("guest"))
+    # Guests are listed per block, so their table is larger than what it is made from: never broadcast it.
+    both = homes.union(guests).hint("merge").join(sets.withColumnRenamed("id", "rep").hint("merge"), "rep")
+    return both.groupBy("component", "block", "chunk").applyInPandas(visits(percent), "u long, v long").distinct()
 
 
 def drop_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
