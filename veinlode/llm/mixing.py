@@ -168,8 +168,9 @@ def mix(
     return Mix(sources, rows, taken.select(*KEY, "copy", "shard", "slot", "pass", "first", "words"))
 
 
-def slots(spark, counts: np.ndarray, n_blocks: np.ndarray, seed: int, chunk: int = 1 << 16) -> DataFrame:
-    """(shard, source_no, slot, pass, block) of all slots; ranges are cut into chunks before they are listed."""
+def slots(spark, counts: np.ndarray, n_blocks: np.ndarray, seed: int, chunk: int = 1 << 16, per_task: int = 1 << 19) -> DataFrame:
+    """(shard, source_no, slot, pass, block) of all slots; ranges are cut into chunks, and these dealt to tasks, before
+    they are listed. The number of tasks is given, as adaptive execution would put so few rows into one."""
     begun = np.concatenate((np.zeros((1, counts.shape[1]), dtype=np.int64), counts.cumsum(0)))[:-1]
     rows = [
         (j, i, int(begun[j, i]), int(counts[j, i]), int(n_blocks[i]))
@@ -177,8 +178,9 @@ def slots(spark, counts: np.ndarray, n_blocks: np.ndarray, seed: int, chunk: int
         for i in range(counts.shape[1])
         if counts[j, i]
     ]
-    ranges = spark.createDataFrame(rows, "shard int, source_no int, begun long, n long, blocks long").repartition("shard", "source_no")
+    ranges = spark.createDataFrame(rows, "shard int, source_no int, begun long, n long, blocks long")
     at = ranges.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long"))))
+    at = at.repartition(max(1, -(-int(counts.sum()) // per_task)), "shard", "source_no", "at")
     slot = F.explode(F.sequence(F.col("begun") + F.col("at"), F.col("begun") + F.least(F.col("at") + chunk, F.col("n")) - 1))
     listed = at.select("shard", "source_no", "blocks", slot.alias("slot"))
 
