@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mix", mixed),
     ("shard", sharded),
 ]
-#: Trained vectors, sketches and pseudorandom draws have no SQL form; tests hold the stages against brute force.
+#: Trained vectors, sketches and pseudorandom draws have no SQL form; the operators' tests hold each stage's work against brute force.
 ORACLE_SQL = None
 
 
