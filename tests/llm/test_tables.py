@@ -73,6 +73,17 @@ def test_hosts_that_link_to_blocked_ones_are_blocked(spark):
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_seeds_are_shares_of_pages(spark):
+    half = [(f"http://h{k}.xyz/{part}/{i}", "") for k in range(2) for part in ("bad", "free") for i in range(5)]
+    rows = [*half, ("http://sub.h0.xyz/1", ""), ("http://fan.xyz/1", '<a href="//h1.xyz/">x</a>')]
+    rows += [(f"http://mixed.xyz/{p}", "") for p in ("bad/1", "good/1", "good/2", "free/1")] + [(f"http://plain{i}.xyz/", "") for i in range(9)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {(r.host, r.rule): r.verdict for r in links.judge(df, [("xyz", "/bad/", "block"), ("xyz", "/good/", "allow")]).collect()}
+    assert all(got[h, None] == "block" for h in ("h0.xyz", "h1.xyz", "sub.h0.xyz", "fan.xyz"))
+    assert got["mixed.xyz", None] == got["plain0.xyz", None] == "allow"
+    assert got["mixed.xyz", "xyz/bad/"] == "block"
+
+
 def test_preferences(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "more"), (1, 3, "assistant", "long answer"),
