@@ -92,6 +92,21 @@ def test_pii_model_and_redaction(spark):
     assert got == {1: "call <PHONE> or <EMAIL>", 2: None, 3: "on 2024-05-03"}
 
 
+def test_pii_finds_neighbouring_numbers():
+    model = pii.train()
+    cases = {
+        "415-555-1234 / 415-555-9999": [("phone", "415-555-1234"), ("phone", "415-555-9999")],
+        "415-555-1234 415-555-9999": [("phone", "415-555-1234"), ("phone", "415-555-9999")],
+        "(415) 555-1234 (415) 555-9999": [("phone", "(415) 555-1234"), ("phone", "(415) 555-9999")],
+        "4111-1111-1111-1111 12/25": [("card", "4111-1111-1111-1111")],
+        "2024-05-01 415-555-1234": [("phone", "415-555-1234")],
+        "on 2024-05-03": [],
+    }
+    found = pii.judge(model, list(cases))
+    assert [[(pii.KINDS[k], t[s:e]) for s, k, e, _ in f] for t, f in zip(cases, found)] == list(cases.values())
+    assert len(pii.candidates("1 " * 20_000)) < 20_000 * 21
+
+
 def test_quality_held_out(spark):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -1,8 +1,8 @@
 """Personal data: candidate spans judged by gradient-boosted trees.
 
 Base rules (email, ip, card, phone) give spans that always stay. Generators of high recall propose
-further, overlapping spans: obfuscated addresses, numbers in national and grouped formats, colon
-addresses. Each candidate is described by its format and the 40 characters around it; boosted
+further, overlapping spans: obfuscated addresses, numbers in national and grouped formats (every run
+of neighbouring groups of digits), colon addresses. Each candidate is described by its format and the 40 characters around it; boosted
 trees score it, the score is calibrated on held-out rows, and a threshold per kind, chosen for a
 wanted precision, selects. Of overlapping selected spans the more probable stays, and none may
 overlap a base span.
@@ -16,6 +16,7 @@ its length; repeated rows are judged each by itself. Offsets are code points, en
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Callable
@@ -42,8 +43,14 @@ HIDDEN_MAIL = re.compile(
     r"(?<![\w.+-])[\w.+-]{1,64} ?(?:@|[(\[{] ?(?:at|AT) ?[)\]}]| (?:at|AT) ) ?"
     r"[\w-]{1,63}(?: ?(?:\.|[(\[{] ?(?:dot|DOT) ?[)\]}]| (?:dot|DOT) ) ?[\w-]{2,24}){1,4}"
 )
-NUMBER = re.compile(r"(?<![\w.,])[(+]{0,2}[0-9][0-9 ().\-/]{5,30}[0-9](?![\w])")
+DIGITS = re.compile(r"[0-9]+")
+GAP = re.compile(r"[ ().\-/]+")
+PREFIX = "(+"
+SCORED = 10_000  # candidates described at once, at most
+GAPS = 30  # characters between the groups of one number, at most
 COLON = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])")
+BESIDE_LEFT = re.compile(r"([0-9]+)([ ().\-/,:]{1,5})$")
+BESIDE_RIGHT = re.compile(r"([ ().\-/,:]{1,5})([0-9]+)")
 # A local part of 64 characters and longer is found by the base rule alone.
 
 CONTEXT = {
@@ -95,17 +102,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def numbers(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, digits) of every run of neighbouring groups that has 7 to 19 digits; runs overlap.
+
+    A run begins after no letter and ends before none; brackets and a plus before its first group belong to it.
+    A group of digits begins few runs, so the time is linear in the text.
+    """
+    groups = [m.span() for m in DIGITS.finditer(text)]
+    joined = [bool(GAP.fullmatch(text, a[1], b[0])) and b[0] - a[1] <= GAPS for a, b in zip(groups, groups[1:])] + [False]
+    word = lambda c: c == "_" or c.isalnum()
+    found = []
+    for i, (first, _) in enumerate(groups):
+        start = first
+        while start and first - start < 2 and text[start - 1] in PREFIX:
+            start -= 1
+        if first and word(text[first - 1]):
+            continue
+        if start and word(text[start - 1]):
+            start = first
+        n = gaps = 0
+        for k in range(i, len(groups)):
+            low, end = groups[k]
+            n += end - low
+            gaps += low - groups[k - 1][1] if k > i else 0
+            if n > 19 or gaps > GAPS:
+                break
+            if n >= 7 and not (end < len(text) and word(text[end])):
+                found.append((start, end, n))
+            if not joined[k]:
+                break
+    return found
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all proposals; they may overlap each other and the base spans."""
     found = []
     if "@" in text or HIDDEN.search(text):
         found += [(m.start(), 0, m.end()) for m in HIDDEN_MAIL.finditer(text)]
-    for m in NUMBER.finditer(text):
-        n = len(only_digits(m.group()))
-        if 7 <= n <= 15:
-            found.append((m.start(), 3, m.end()))
-        if 13 <= n <= 19:
-            found.append((m.start(), 2, m.end()))
+    for start, end, n in numbers(text):
+        if n <= 15:
+            found.append((start, 3, end))
+        if n >= 13:
+            found.append((start, 2, end))
     if text.count(":") >= 3:
         found += [(m.start(), 1, m.end()) for m in COLON.finditer(text)]
     return found
@@ -122,6 +160,8 @@ def describe(text: str, span: tuple[int, int, int]) -> list[float]:
     groups = [len(g) for g in re.split(r"[^0-9]+", s) if g] or [0]
     marks = [c for c in s if not c.isalnum()]
     before, after = text[max(0, start - 40) : start], text[end : end + 20]
+    gaps = {g for g in re.split(r"[0-9]+", s.lstrip(PREFIX)) if g}
+    left, right = BESIDE_LEFT.search(before), BESIDE_RIGHT.match(after)
     return [
         kind == 0, kind == 1, kind == 2, kind == 3,
         len(s), len(d), len(d) / len(s), len(marks), len(set(marks)), s.count(" "), s.count("-"), s.count("."),
@@ -131,11 +171,14 @@ def describe(text: str, span: tuple[int, int, int]) -> list[float]:
         kind_of_char(before[-1:]), kind_of_char(after[:1]),
         bool(CONTEXT[KINDS[kind]].search(before)), any(bool(r.search(before)) for r in CONTEXT.values()),
         bool(AGAINST.search(before)), bool(AGAINST.search(after)), any("0" <= c <= "9" for c in before[-12:] + after[:12]),
+        groups[1] if len(groups) > 1 else 0, groups[-2] if len(groups) > 1 else 0, len(gaps),
+        len(left[1]) if left else 0, len(right[2]) if right else 0, bool(left) and left[2] in gaps, bool(right) and right[1] in gaps,
+        len(left[2]) if left else 0, len(right[1]) if right else 0, max((len(g) for g in gaps), default=0), s.count(" ") - s.count(") "),
     ]
 
 
-def made_text(rng: random.Random) -> tuple[str, int, int, int, int]:
-    """A sentence with one marked span: (text, start, end, kind or -1)."""
+def made_text(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A sentence and its marked spans (start, kind, end): none, one, or several where numbers are neighbours."""
     vowels, rest = "aeiouéüó", "bcdfghlmnprstvß"
 
     def word() -> str:
@@ -148,7 +191,31 @@ def made_text(rng: random.Random) -> tuple[str, int, int, int, int]:
         body = rng.choice("3456") + digits(n - 2)
         return next(body + c for c in "0123456789" if luhn(body + c))
 
-    kind = rng.choice([0, 1, 2, 3, -1, -1, -1, -1])
+    def card() -> str:
+        d = valid_card(rng.choice([13, 15, 16, 16, 16])) if rng.random() < 0.5 else digits(16)
+        gap = rng.choice(["", "", " ", "-", "."])
+        return gap.join(d[i : i + 4] for i in range(0, len(d), 4))
+
+    def phone() -> str:
+        a, b, c = digits(3), digits(3), digits(4)
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{a} {b}{c}", f"00{digits(2)} {a} {b}{c}", f"0{a}/{b}{c}", f"({a}){b}-{c}"])
+
+    def beside() -> list[tuple[str, int]]:
+        """A phone or card number and what may stand beside it, in either order."""
+        own = rng.choice([2, 3, 3])
+        day, month, year = rng.randint(1, 28), rng.randint(1, 12), rng.randint(1950, 2049)
+        dates = [f"{year}-{month:02d}-{day:02d}", f"{day:02d}/{month:02d}/{year}", f"{day:02d}.{month:02d}.{year}", f"{year}"]
+        if own == 2:
+            other = rng.choice([(f"{month:02d}/{year % 100:02d}", -1), (f"{month:02d}/{year}", -1), (f"{month:02d}/{year % 100:02d} {digits(3)}", -1), (digits(3), -1), (card(), 2), (rng.choice(dates), -1)])
+        else:
+            other = rng.choice([(phone(), 3), (phone(), 3), (rng.choice(dates), -1), (digits(rng.randint(1, 5)), -1), (f"{digits(2)}:{digits(2)}", -1)])
+        pair = [(card() if own == 2 else phone(), own), other]
+        if own == 3 and other[1] == 3 and rng.random() < 0.3:
+            pair.append((phone(), 3))
+        rng.shuffle(pair)
+        return pair
+
+    kind = rng.choice([0, 1, 2, 3, -1, -1, -1, -1, 9, 9])
     hint = ""
     if kind == 0:
         name, host, end = word(), word(), rng.choice(["com", "org", "net", "de", "fr", "es", "io"])
@@ -160,17 +227,17 @@ def made_text(rng: random.Random) -> tuple[str, int, int, int, int]:
         s = ":".join(f"{rng.randrange(65536):x}" for _ in range(8)) if rng.random() < 0.7 else f"2001:db8::{rng.randrange(65536):x}:{rng.randrange(65536):x}"
         hint = rng.choice(["", "host ", "ip ", "login from "])
     elif kind == 2:
-        d = valid_card(rng.choice([13, 15, 16, 16, 16])) if rng.random() < 0.5 else digits(16)
-        gap = rng.choice(["", "", " ", "-", "."])
-        s = gap.join(d[i : i + 4] for i in range(0, len(d), 4))
+        s = card()
         hint = rng.choice(["", "", "card ", "visa ", "pay with "])
     elif kind == 3:
-        a, b, c = digits(3), digits(3), digits(4)
-        s = rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"0{a} {b}{c}", f"00{digits(2)} {a} {b}{c}", f"0{a}/{b}{c}", f"({a}){b}-{c}"])
+        s = phone()
         hint = rng.choice(["", "", "phone ", "call ", "tel ", "mobile "])
+    elif kind == 9:
+        several = beside()
+        hint = rng.choice(["", "", "phone ", "call ", "tel "] if any(k == 3 for _, k in several) else ["", "", "card ", "visa ", "pay with "])
     else:
         word_for = rng.choice(["order ", "invoice ", "serial ", "id ", "isbn ", "version ", "ticket ", "sku ", "ref ", "build ", "# ", "log ", ""])
-        plain = [f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(2)}:{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(2)}.{digits(3)}.{digits(4)}", f"{rng.randint(1900, 2100)} - {rng.randint(1900, 2100)}", digits(7), digits(8), digits(10), f"{digits(3)} {digits(3)} {digits(3)} {digits(3)}", f"{word()} at {word()} dot.{word()}"]
+        plain = [f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(2)}:{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(2)}.{digits(3)}.{digits(4)}", f"{rng.randint(1900, 2100)} - {rng.randint(1900, 2100)}", digits(7), digits(8), digits(10), f"{digits(3)} {digits(3)} {digits(3)} {digits(3)}", f"{word()} at {word()} dot.{word()}", f"{digits(1)},{digits(3)},{digits(3)}", f"{digits(2)},{digits(3)},{digits(3)},{digits(3)}.{digits(2)}", " ".join(digits(rng.randint(1, 4)) for _ in range(rng.randint(3, 9)))]
         coded = [digits(rng.randint(7, 19)), f"{digits(3)}-{digits(1)}-{digits(5)}-{digits(3)}", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]
         s = rng.choice(plain + (coded * 3 if word_for else []))
         hint = word_for
@@ -179,7 +246,15 @@ def made_text(rng: random.Random) -> tuple[str, int, int, int, int]:
     right = rng.choice(["", " ", ". ", ", ", " | "]) + " ".join(word() for _ in range(rng.randint(0, 6)))
     if right[:1].isalpha():
         right = " " + right
-    return left + s + right, len(left), len(left) + len(s), kind
+    parts = several if kind == 9 else [(s, kind)]
+    between = rng.choice([" ", " ", " / ", "/", " - ", ", ", ",", "; ", " or "])
+    text, spans = left, []
+    for i, (part, k) in enumerate(parts):
+        text += between if i else ""
+        if k >= 0:
+            spans.append((len(text), k, len(text) + len(part)))
+        text += part
+    return text + right, spans
 
 
 def train(rows: int = 8000, seed: int = 20240501, precision: float = 0.97) -> dict:
@@ -187,10 +262,10 @@ def train(rows: int = 8000, seed: int = 20240501, precision: float = 0.97) -> di
     rng = random.Random(seed)
     x, y, kinds = [], [], []
     for _ in range(rows):
-        text, start, end, kind = made_text(rng)
+        text, marked = made_text(rng)
         for span in candidates(text):
             x.append(describe(text, span))
-            y.append(float(span[1] == kind and abs(span[0] - start) <= 1 and abs(span[2] - end) <= 1))
+            y.append(float(any(span[1] == kind and abs(span[0] - start) <= 1 and abs(span[2] - end) <= 1 for start, kind, end in marked)))
             kinds.append(span[1])
     x, y, kinds = np.array(x, dtype=float), np.array(y), np.array(kinds)
     held = np.arange(len(y)) % 3 == 0
@@ -207,7 +282,19 @@ def train(rows: int = 8000, seed: int = 20240501, precision: float = 0.97) -> di
 
 def judge(model: dict, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
     """Per text its spans (start, kind, end, probability), base ones with probability 1, ordered by start and kind."""
-    out, owner, spans, rows = [], [], [], []
+    out: list[list[tuple[int, int, int, float]]] = []
+    owner, spans, rows = [], [], []
+    per_text: dict[int, list] = {}
+
+    def score() -> None:
+        margin = model["trees"].margin(np.array(rows, dtype=float))
+        p = np.minimum(sigmoid(model["platt"][0] * margin + model["platt"][1]), 0.999999)  # 1 marks base spans
+        good = p >= np.array(model["cuts"])[[s[1] for s in spans]]
+        for k in np.flatnonzero(good):
+            per_text.setdefault(owner[k], []).append((-p[k], spans[k]))
+        for held in (owner, spans, rows):
+            held.clear()
+
     for i, text in enumerate(texts):
         found = base_spans(text) if text and TRACE.search(text) else []
         out.append([(*s, 1.0) for s in found])
@@ -218,15 +305,12 @@ def judge(model: dict, texts: list[str | None]) -> list[list[tuple[int, int, int
                     owner.append(i)
                     spans.append(span)
                     rows.append(describe(text, span))
+                    if len(rows) == SCORED:
+                        score()
     if rows:
-        margin = model["trees"].margin(np.array(rows, dtype=float))
-        p = np.minimum(sigmoid(model["platt"][0] * margin + model["platt"][1]), 0.999999)  # 1 marks base spans
-        good = p >= np.array(model["cuts"])[[s[1] for s in spans]]
-        per_text: dict[int, list] = {}
-        for k in np.flatnonzero(good):
-            per_text.setdefault(owner[k], []).append((-p[k], spans[k]))
-        for i, found in per_text.items():
-            out[i] = without_overlap(out[i], sorted(found))
+        score()
+    for i, found in per_text.items():
+        out[i] = without_overlap(out[i], sorted(found))
     return out
 
 
@@ -248,9 +332,12 @@ def without_overlap(base: list, found: list) -> list:
     limit = -1
     for item in [*free, None]:  # candidates are short, so a chain of overlapping ones is judged on its own
         if item is None or item[1][0] >= limit:
+            own: list[tuple[int, int, int, float]] = []  # by place, without overlap
             for neg, (start, kind, end) in sorted(group):
-                if all(end <= s or start >= e for s, _, e, _ in taken[-len(group) :]):
-                    taken.append((start, kind, end, float(-neg)))
+                k = bisect.bisect(own, (start, 9))
+                if (k == 0 or own[k - 1][2] <= start) and (k == len(own) or own[k][0] >= end):
+                    own.insert(k, (start, kind, end, float(-neg)))
+            taken += own
             group, limit = [], -1
         if item is not None:
             group.append(item)
