@@ -85,6 +85,16 @@ def test_average_precision_with_ties_and_auc(spark):
     assert ev.roc_auc(rows, ["model"]).first().auc == pytest.approx((0.5 + 1 + 0 + 1) / 4)
 
 
+def test_paired_comparison_of_two_models(spark):
+    rows = lambda scores: spark.createDataFrame([(i, i % 2, float(x)) for i, x in enumerate(scores)], "id long, label int, score double")
+    good, bad = rows([i % 2 for i in range(20)]), rows([1 - i % 2 for i in range(20)])
+    same = ev.paired_comparison(good, good, "id", 50).first()
+    assert (same.resamples, same.mean_difference, same.share_won) == (50, 0, 0)
+    won, lost = ev.paired_comparison(good, bad, "id", 50).first(), ev.paired_comparison(bad, good, "id", 50).first()
+    assert won.share_won == 1 and lost.share_won == 0
+    assert 0.3 < won.mean_difference < 0.7 and won.mean_difference == pytest.approx(-lost.mean_difference)
+
+
 def test_as_of_takes_the_latest_before(spark):
     left = spark.createDataFrame([("r", 5), ("r", 1), ("q", 9)], "k string, at int")
     right = spark.createDataFrame([("r", 2, "x"), ("r", 5, "y"), ("r", 6, "z")], "k string, at int, v string")

@@ -24,9 +24,10 @@ def confusion(rows: DataFrame, by: list[str], threshold: float) -> DataFrame:
     return c.withColumn("f1", f1(F.col("precision"), F.col("recall"))).withColumn("accuracy", ratio(F.col("tp") + F.col("tn"), n)).withColumn("flagged", ratio(F.col("tp") + F.col("fp"), n))
 
 
-def by_score(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of each distinct score, and the running and total ones from the highest score on."""
-    s = rows.groupBy(*by, "score").agg(F.sum(F.col("label").cast("long")).alias("hits"), F.count("*").alias("n"))
+def by_score(rows: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """Counts of each distinct score, and the running and total ones from the highest score on; a row counts ``weight`` times."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    s = rows.groupBy(*by, "score").agg(F.sum(F.col("label").cast("long") * w).alias("hits"), F.sum(w).alias("n"))
     down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy(*by)
     return s.withColumns(
@@ -34,9 +35,9 @@ def by_score(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def average_precision(rows: DataFrame, by: list[str]) -> DataFrame:
+def average_precision(rows: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """EV02, WN11: precision at the end of each tie group, weighted by the group's hits; 0 without positives."""
-    s = by_score(rows, by)
+    s = by_score(rows, by, weight)
     return s.groupBy(*by).agg(F.sum(F.when(F.col("positives") > 0, F.col("hits") / F.col("positives") * F.col("tp") / F.col("seen")).otherwise(0.0)).alias("ap"))
 
 
@@ -83,20 +84,39 @@ def set_scores(found: DataFrame, gold: DataFrame, keys: list[str], by: list[str]
     return c.withColumns({"precision": p, "recall": r, "f1": agree})
 
 
-def bootstrap_means(rows: DataFrame, key: str, value: str, resamples: int, seed: str = "boot") -> DataFrame:
-    """EV07, EV14: the mean of each resample. Rows are drawn with replacement by Poisson weights from a shared hash,
-    so a resample needs no index into the data and any engine can repeat it."""
-    r = rows.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+def poisson_weight(key: str, seed: str) -> F.Column:
+    """How often ``resample`` draws a row: Poisson(1) from a shared hash."""
     u = hash_unit(F.col("resample"), F.col(key), seed=seed)
     steps, term, total = F.lit(0), 1.0, 0.0
     for k in range(1, 8):  # Poisson(1): cumulative e^-1 / k!
         total += 0.36787944117144233 * term
         term /= k
         steps = F.when(u >= total, F.lit(k)).otherwise(steps)
-    w = r.withColumn("_w", steps)
+    return steps
+
+
+def resampled(rows: DataFrame, resamples: int) -> DataFrame:
+    return rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+
+
+def bootstrap_means(rows: DataFrame, key: str, value: str, resamples: int, seed: str = "boot") -> DataFrame:
+    """EV07, EV14: the mean of each resample. Rows are drawn with replacement by Poisson weights from a shared hash,
+    so a resample needs no index into the data and any engine can repeat it."""
+    w = resampled(rows.select(key, value), resamples).withColumn("_w", poisson_weight(key, seed))
     return w.groupBy("resample").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("mean"))
 
 
+def paired_comparison(ours: DataFrame, other: DataFrame, key: str, resamples: int = 1000, seed: str = "pair") -> DataFrame:
+    """EV08: mean difference of average precision of two models (key, label, score), ours less the other, and the share
+    of resamples that ours wins. Both are weighted by the same Poisson draws of the samples that both have."""
+    both = ours.select(key, "label", F.col("score").alias("_a")).join(other.select(key, F.col("score").alias("_b")), key)
+    drawn = resampled(both, resamples).withColumn("_w", poisson_weight(key, seed)).where("_w > 0")
+    scores = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_{m}").alias("score")) for m in "ab"]))
+    ap = average_precision(drawn.select("resample", "label", "_w", scores.alias("s")).select("resample", "label", "_w", "s.*"), ["resample", "model"], "_w")
+    d = ap.groupBy("resample").agg(F.sum(F.when(F.col("model") == "a", F.col("ap")).otherwise(-F.col("ap"))).alias("d"))
+    return d.agg(F.count("*").alias("resamples"), F.avg("d").alias("mean_difference"), F.avg((F.round("d", 9) > 0).cast("int")).alias("share_won"))
+
+
 def middle_95(rows: DataFrame, value: str) -> DataFrame:
     """SX13: linear quantiles at 2.5 and 97.5 %."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))

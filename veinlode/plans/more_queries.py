@@ -200,6 +200,22 @@ def ev08_paired_comparison(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("resample").agg(F.round(F.avg("score") - F.avg("label"), 6).alias("difference"))
 
 
+WEIGHTS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
+
+
+@query(f"""WITH {P}, u AS (SELECT r, label, score AS a, round(1 - abs(score - 0.6), 2) AS b, ('0x' || substr(md5('pair:' || r || ':' || sample_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM p, range(0, 1000) x(r)),
+w AS (SELECT r, label, a, b, {" + ".join(f"(u >= {c})::INT" for c in WEIGHTS)} AS w FROM u),
+l AS (SELECT r, 'a' AS model, a AS score, label, w FROM w WHERE w > 0 UNION ALL SELECT r, 'b', b, label, w FROM w WHERE w > 0),
+s AS (SELECT r, model, score, sum(w * label) AS h, sum(w) AS n FROM l GROUP BY 1, 2, 3),
+c AS (SELECT r, model, h, sum(h) OVER x AS tp, sum(n) OVER x AS seen, sum(h) OVER (PARTITION BY r, model) AS pos FROM s WINDOW x AS (PARTITION BY r, model ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT r, model, coalesce(sum(h::DOUBLE / nullif(pos, 0) * tp / seen), 0) AS ap FROM c GROUP BY 1, 2), d AS (SELECT r, sum(CASE WHEN model = 'a' THEN ap ELSE -ap END) AS d FROM m GROUP BY 1)
+SELECT count(*) AS resamples, round(avg(d), 6) AS mean_difference, round(avg((round(d, 9) > 0)::INT), 6) AS share_won FROM d""")
+def ev08_paired_average_precision(spark: SparkSession, d: str) -> DataFrame:
+    p = v.predictions(spark, d)
+    out = ev.paired_comparison(p, p.withColumn("score", F.round(1 - F.abs(F.col("score") - 0.6), 2)), "sample_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_difference", "share_won")})
+
+
 @query("""WITH x AS (SELECT l_orderkey AS sample, count(*) FILTER (l_returnflag = 'A') AS convention, count(*) FILTER (l_returnflag LIKE 'R%') AS refactor, sum(l_quantity) AS sloc FROM lineitem GROUP BY 1)
 SELECT sample, convention, refactor, round(1000.0::DOUBLE * (convention + refactor) / nullif(sloc, 0), 6) AS per_kloc FROM x""")
 def fe10_report_counts(spark: SparkSession, d: str) -> DataFrame:
