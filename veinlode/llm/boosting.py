@@ -53,17 +53,27 @@ class BoostedTrees:
         return self
 
     def step(self, x: np.ndarray, node: np.ndarray, t: int) -> np.ndarray:
-        right = x[np.arange(len(x)), self.feature[t][node]] > self.cut[t][node]
-        return 2 * node + 1 + right
+        return step(self.feature[t], self.cut[t], x, node)
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.bias)
-        for t in range(self.trees):
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(self.depth):
-                node = self.step(x, node, t)
-            out += self.leaf[t][node - (2**self.depth - 1)]
-        return out
+    def arrays(self) -> dict:
+        """The fitted trees as plain arrays, which any worker can unpickle."""
+        return {"feature": self.feature, "cut": self.cut, "leaf": self.leaf, "bias": self.bias}
+
+
+def step(feature: np.ndarray, cut: np.ndarray, x: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
+
+
+def margin(trees: dict, x: np.ndarray) -> np.ndarray:
+    """Log odds of each row under the trees of ``arrays()``."""
+    out = np.full(len(x), trees["bias"])
+    inner = trees["feature"].shape[1]
+    for feature, cut, leaf in zip(trees["feature"], trees["cut"], trees["leaf"]):
+        node = np.zeros(len(x), dtype=np.int64)
+        while node.size and node[0] < inner:  # trees are complete: all rows reach the leaves at once
+            node = step(feature, cut, x, node)
+        out += leaf[node - inner]
+    return out
 
 
 def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:

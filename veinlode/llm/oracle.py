@@ -29,7 +29,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 
 OP4 = r"""
 WITH t AS (SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS x
-           FROM conversations GROUP BY conv_id),
+           FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS row_no FROM conversations) GROUP BY conv_id, row_no),
 c AS (SELECT conv_id, list_transform(x, lambda v: {'role': v.role, 'text': v.text}) AS turns FROM t),
 k AS (SELECT conv_id, turns, turns[1] AS first,
              row_number() OVER (PARTITION BY turns[1] ORDER BY len(turns) DESC, list_sum(list_transform(turns, lambda v: length(v.text))) DESC,

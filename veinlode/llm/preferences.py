@@ -9,11 +9,15 @@ id) is chosen, and each other one gives a pair with it, so that a group of n giv
 chosen conversation has a row of its own without a rejected completion: the turns before its last
 assistant turn are its prompt.
 
-Only DataFrame functions are used. The best of a group is found by partial aggregation, and is
-joined to the group's members by a sort-merge join that adaptive execution splits when one first
-turn has many. Defined cases: null role or text is an empty string; rows with equal conv_id and
-turn are ordered by role and text; equal rows are kept, each a turn; null conv_ids form one
-conversation; equal conversations share all turns, and have empty completions.
+Only DataFrame functions are used. The best of a group is found by partial aggregation. A first
+turn that opens over 1 / ``HOT`` of all conversations is split: its members are dealt by hash to parts
+of about that size, and its best conversation is copied to each. At most ``HOT`` first turns can be so
+common, which bounds the table of them that is broadcast.
+
+Defined cases: null role or text is an empty string; rows with equal conv_id and turn are ordered
+by role and text; equal rows are kept, each a turn; a row without a conv_id is a conversation of its
+own; equal conversations share all turns, and have empty completions; new columns whose name is taken
+get an underscore.
 """
 
 from __future__ import annotations
@@ -21,17 +25,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import fresh, materialise, need
 
 Column = F.Column
 
 
+#: First turns that open over one in so many conversations are split.
+HOT = 1000
+
+
 def conversations(rows: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, turns: array<struct<role, text>>) in the order of turns."""
+    """(conv_id, row_no, turns: array<struct<role, text>>) in the order of turns; ``row_no`` is null where there is a conv_id."""
     need(rows, conv_id, turn, role, text)
+    key = F.col(f"`{conv_id}`")
     parts = [F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")]
-    gathered = rows.groupBy(F.col(f"`{conv_id}`").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("t"))
-    return gathered.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    told = rows.select(key.alias("conv_id"), F.when(key.isNull(), F.monotonically_increasing_id()).alias("row_no"), F.struct(*parts).alias("t"))
+    gathered = told.groupBy("conv_id", "row_no").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    return gathered.select("conv_id", "row_no", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
 def opened(role: Column) -> Column:
@@ -77,37 +87,40 @@ def from_turn(turns: Column, n: Column) -> Column:
 
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """``pairs`` with two arrays of turns (rejected may be null) becomes prompt, completions and masks."""
-    a, b = F.col(chosen), F.col(rejected)
-    n = F.when(b.isNull(), before_last_answer(a)).otherwise(common_turns(a, b))
-    others = [F.col(f"`{c}`") for c in pairs.columns if c not in (chosen, rejected)]
-    cut = pairs.select(*others, a, b, n.alias("prompt_turns"))
-    cut = cut.select(
-        *others, "prompt_turns", F.slice(a, 1, F.col("prompt_turns")).alias("_p"),
-        from_turn(a, F.col("prompt_turns")).alias("_a"), from_turn(b, F.col("prompt_turns")).alias("_b"),
-    )
-    return cut.select(
-        *others,
-        "prompt_turns",
-        rendered(F.col("_p")).alias("prompt"),
-        rendered(F.col("_a")).alias("chosen_text"),
-        masked(F.col("_a")).alias("chosen_mask"),
-        F.when(F.col("_b").isNotNull(), rendered(F.col("_b"))).alias("rejected_text"),
-        F.when(F.col("_b").isNotNull(), masked(F.col("_b"))).alias("rejected_mask"),
-    )
+    need(pairs, chosen, rejected)
+    others = [c for c in pairs.columns if c not in (chosen, rejected)]
+    new = {n: fresh(n, others) for n in ("prompt_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask")}
+    kept = [pairs[f"`{c}`"].alias(f"_keep{i}") for i, c in enumerate(others)]
+    told = pairs.select(*kept, pairs[f"`{chosen}`"].alias("a"), pairs[f"`{rejected}`"].alias("b"))
+    n = F.when(F.col("b").isNull(), before_last_answer(F.col("a"))).otherwise(common_turns(F.col("a"), F.col("b")))
+    cut = told.withColumn("n", n)
+    cut = cut.select("*", F.slice("a", 1, F.col("n")).alias("p"), from_turn(F.col("a"), F.col("n")).alias("x"), from_turn(F.col("b"), F.col("n")).alias("y"))
+    p, x, y = F.col("p"), F.col("x"), F.col("y")
+    made = [F.col("n"), rendered(p), rendered(x), masked(x), F.when(y.isNotNull(), rendered(y)), F.when(y.isNotNull(), masked(y))]
+    return cut.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(others)], *[e.alias(c) for e, c in zip(made, new.values())])
 
 
 def pair_up(convs: DataFrame) -> DataFrame:
     """(conv_id, chosen_id, chosen, rejected): one row per conversation, as the module says."""
     chars = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"]))
+    own = F.struct("conv_id", "row_no")
     keyed = convs.select(
-        "conv_id", "turns", F.sha2(F.concat_ws("\n", F.col("turns")[0]["role"], F.col("turns")[0]["text"]), 256).alias("first"),
-        F.struct((-F.size("turns")).alias("t"), (-chars).alias("c"), F.col("conv_id").isNull().alias("n"), F.col("conv_id").alias("i")).alias("rank"),
+        own.alias("own"), "turns", F.sha2(F.concat_ws("\n", F.col("turns")[0]["role"], F.col("turns")[0]["text"]), 256).alias("first"),
+        F.struct((-F.size("turns")).alias("t"), (-chars).alias("c"), F.col("conv_id").isNull().alias("n"), own.alias("i")).alias("rank"),
     )
-    best = keyed.groupBy("first").agg(F.min_by(F.struct("conv_id", "turns"), "rank").alias("best"))
-    both = keyed.join(best, "first")
-    alone = F.col("conv_id").eqNullSafe(F.col("best.conv_id"))
+    keyed = materialise(keyed)
+    best = materialise(keyed.groupBy("first").agg(F.min_by(F.struct("own", "turns"), "rank").alias("best"), F.count("*").alias("n")))
+    each = (best.agg(F.sum("n")).first()[0] or 0) / HOT
+    parts = F.ceil(F.col("n") / F.lit(max(1.0, each))).cast("int")
+    hot = best.where(F.col("n") > max(1.0, each)).select("first", parts.alias("parts"))  # HOT rows at most
+    some = F.coalesce(F.pmod(F.xxhash64("own"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    members = keyed.join(F.broadcast(hot), "first", "left").select("first", some, "own", "turns")
+    heads = best.join(F.broadcast(hot), "first", "left").select("first", every, "best")
+    both = members.join(heads, ["first", "part"])
+    rejected = F.when(~F.col("own").eqNullSafe(F.col("best.own")), F.col("turns"))
     return both.select(
-        "conv_id", F.col("best.conv_id").alias("chosen_id"), F.col("best.turns").alias("chosen"), F.when(~alone, F.col("turns")).alias("rejected")
+        F.col("own.conv_id").alias("conv_id"), F.col("best.own.conv_id").alias("chosen_id"), F.col("best.turns").alias("chosen"), rejected.alias("rejected")
     )
 
 
