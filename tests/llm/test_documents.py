@@ -84,6 +84,19 @@ def test_pii_digest(spark, hard, empty, docs):
         assert {f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base} <= set(got[row.doc_id].spans.split(","))
 
 
+def test_pii_added_to_documents_is_right(spark):
+    """On the documents the method adds the secrets, and card numbers only with a right check digit."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    wanted = found = 0
+    for row, spans in zip(rows, pii.judge(pii.train(), [r.text for r in rows])):
+        extra = [(k, row.text[s:e]) for s, k, e, p in spans if p < 1]
+        assert all(pii.luhn(pii.only_digits(t)) for k, t in extra if k == 2)
+        named = set(re.findall(r'token = "([0-9a-f]+)"', row.text))
+        wanted, found = wanted + len(named), found + len(named & {t for k, t in extra if k == 4})
+        assert {t for k, t in extra if k == 4} <= named
+    assert wanted and found == wanted
+
+
 def test_pii_model_and_redaction(spark):
     model = pii.train()
     assert model["recall"] > 0.95 and model["precision"] > 0.95
@@ -115,6 +128,28 @@ def test_quality_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def test_quality_is_a_plain_neighbour_vote(spark, docs):
+    """Every score from all cosines, one pair at a time, with the operator's vectors."""
+    import numpy as np
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where(~quality.held_out("doc_id"))
+    model = quality.learn(docs, labels, doc_id="doc_id", text="text", quality="quality", max_labelled=4096, axes=48)
+    near, power = 24, 8.0
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = by_id(quality.digest(docs, spark.read.parquet(f"{SF}/labels.parquet")))
+    assert len(model["labels"]) == labels.where("quality IS NOT NULL").select("doc_id").distinct().count()
+    for doc_id, text in texts.items():
+        at, n = quality.terms(text.encode())
+        x = np.zeros(quality.N_TERMS, dtype=np.float64)
+        x[at] = np.log1p(n / n.sum() * 1000) * model["rarity"][at]
+        v = x / np.linalg.norm(x) @ model["basis"].astype(np.float64)
+        v /= np.linalg.norm(v)
+        cosines = sorted(((float(np.dot(v, w)), float(y)) for w, y in zip(model["vectors"], model["labels"])), reverse=True)
+        votes = [(max(c, 0.0) ** power, y) for c, y in cosines[:near]]
+        want = sum(w * y for w, y in votes) / sum(w for w, _ in votes)
+        assert got[doc_id].score == pytest.approx(want, abs=2e-2)
+
+
 def test_quality_hard_cases(spark, hard, empty, docs):
     labels = spark.createDataFrame([(7, 1), (7, 0), (8, 1), (12, 0), (None, 1), (9, None), (0, 1)], LABELS)
     got = quality.digest(hard, labels)
@@ -133,7 +168,7 @@ def leak_words(text):
 
 
 def plain_leaks(text, items):
-    w, hit, found = leak_words(text), set(), set()
+    w, hit, found = leak_words(text), set(), set()  # a null id hits, counts as one item, and has no name
     for item, t in items:
         v = leak_words(t)
         for i in range(max(1, len(v) - 9) if v else 0):
@@ -141,14 +176,15 @@ def plain_leaks(text, items):
             for j in range(len(w) - len(part) + 1):
                 if w[j : j + len(part)] == part:
                     hit |= set(range(j, j + len(part)))
-                    found.add(str(item))
-    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+                    found.add(item)
+    named = sorted(str(i) for i in found if i is not None)
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(named).encode()).hexdigest()
 
 
 def test_decontamination(spark, hard, empty, docs):
     items = [(1, "One two"), (2, "TWO, three!"), (3, None), (4, " .. "), (10, LONG[5:400]), (10, LONG[5:400]), (None, "one"), (5, "été3")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for some, items_ in ((hard, [x for x in items if x[0] is not None]), (docs.limit(60), None)):
+    for some, items_ in ((hard, items), (docs.limit(60), None)):
         b = bench if items_ else spark.read.parquet(f"{SF}/benchmark.parquet")
         items_ = items_ or [(r.item_id, r.text) for r in b.collect()]
         texts = {r.doc_id: r.text for r in some.select("doc_id", "text").collect()}
@@ -183,6 +219,29 @@ def test_sharding(spark, hard, empty, docs):
     assert abs(share - 0.75) < 0.02
 
 
+MASK = (1 << 64) - 1
+
+
+def test_shards_are_the_least_cost(spark, hard, docs):
+    """Each record's shard from its own hashes, shard by shard; a null key has the hash of the shard alone."""
+    import math
+
+    import xxhash
+
+    def cost(key, shard, weight=1.0):
+        h = 42
+        for v in (key, shard):
+            h = h if v is None else xxhash.xxh64_intdigest(int(v).to_bytes(8, "little", signed=True), seed=h)
+        return -math.log(((h >> 11) + 0.5) / (1 << 53)) / weight, shard
+
+    for some in (hard, docs):
+        for r in sharding.digest(some).collect():
+            assert r["shard"] == min(cost(r.doc_id, s) for s in range(8))[1]
+            assert r.grown_shard == min(cost(r.doc_id, s) for s in range(9))[1]
+    for r in sharding.shard(docs, {0: 1.0, 3: 2.5, 4: 0.5}).collect():
+        assert r["shard"] == min(cost(r.doc_id, s, w) for s, w in ((0, 1.0), (3, 2.5), (4, 0.5)))[1]
+
+
 def test_rules(spark, hard, empty, docs):
     assert rules.digest(empty).count() == 0
     for some in (hard, docs):
@@ -199,13 +258,21 @@ def test_rules(spark, hard, empty, docs):
             assert not (r.base_failed and r.kept)
 
 
-def test_rule_order_changes_no_verdict(spark, docs):
-    found = rules.standard_rules(F.col("text"), F.size(rules.words(F.col("text"))))
-    one = rules.cascade(docs, found).select("doc_id", F.col("rejected_by").isNull().alias("k")).collect()
+def test_rule_order_changes_no_verdict(spark, hard, empty, docs):
+    text = F.col("text")
+    wide = rules.measured(docs, text)
+    found = rules.standard_rules(text, {n: F.col(n + "_" * (n == "n_chars")) for n in (*rules.MEASURES, "n_lines")})
+    one = rules.cascade(wide, found).select("doc_id", F.col("rejected_by").isNull().alias("k")).collect()
     none = F.lit(True)
     for rule in found.values():
         none = none & ~F.coalesce(rule, F.lit(False))
-    assert sorted(map(tuple, one)) == sorted(map(tuple, docs.select("doc_id", none.alias("k")).collect()))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, wide.select("doc_id", none.alias("k")).collect()))
+    order = rules.ordered(rules.measured(rules.sample_of(docs), text), found)
+    assert {r["rule"] for r in order} == set(found)
+    assert [r["rejects"] / r["cost"] for r in order] == sorted((r["rejects"] / r["cost"] for r in order), reverse=True)
+    kept = {r.doc_id for r in rules.digest(docs).where("kept").collect()}
+    assert {r.doc_id for r in rules.keep_fine(docs).collect()} == kept
+    assert rules.keep_fine(hard).columns == hard.columns and rules.keep_fine(empty).count() == 0
 
 
 def plain_groups(rows, size, percent=80):
@@ -256,6 +323,11 @@ def test_neardup_hard_cases(spark, hard, empty, docs):
     assert [one[i].n_shingles for i in (0, 1, 2, 3, 4)] == [0, 0, 0, 1, 1]
     assert all(one[i].component_id == i for i in range(5))
     assert one[6].component_id == 5 and one[8].component_id == 7
+    texts = [(1, "a b c d"), (1, "quite other words here"), (2, "A b  c d"), (3, "quite other words here"), (3, None), (3, None), (1, "a b c d")]
+    kept = neardup.drop_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), size=2).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, "a b c d"), (1, "quite other words here"), (3, ""), (3, "")]
+    named = spark.createDataFrame([("x", "a b c"), ("b", "a b c"), ("c", "d")], "doc_id string, text string")
+    assert sorted((r.id, r.component) for r in neardup.find_groups(named, size=2).collect()) == [("b", "b"), ("c", "c"), ("x", "b")]
     kept = neardup.drop_duplicates(hard, size=2)
     assert kept.columns == hard.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["None", *[str(i) for i in range(len(TEXTS)) if i not in (6, 8)]])
@@ -285,6 +357,32 @@ def test_mixing(spark, hard, empty, docs):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 130
 
 
+def test_mixing_takes_the_blocks_of_its_slots(spark, docs):
+    """``taken`` again, from the layout and the draws, block by block and word by word."""
+    import numpy as np
+
+    made = mixing.mix(docs)
+    block, shards, seed = 64, 64, 11
+    n_blocks = np.array([-(-s.size // block) for s in made.sources])
+    owed = np.array([round(s.target * int(n) / s.size) if s.size else 0 for s, n in zip(made.sources, n_blocks)])
+    counts = mixing.draws(owed, shards, seed)
+    assert (counts.sum(0) == owed).all()
+    read = Counter()
+    for i, n in enumerate(n_blocks):
+        for k in range(int(owed[i])):
+            key = np.array([((i * 1_000_003 + k // int(n)) * 2_654_435_761 + seed) % 2**64], dtype=np.uint64)
+            read[i, int(mixing.permuted(np.array([k % int(n)]), np.array([n]), key)[0])] += 1
+    assert max(read.values()) <= 3
+    want, ends = {}, {}
+    for r in made.rows.collect():
+        assert ends.setdefault((r.source_no, r.start), r.doc_id) == r.doc_id or r["size"] == 0
+        want[r.doc_id] = sum(read[r.source_no, w // block] for w in range(r.start, r.start + r["size"]))
+    for i, s in enumerate(made.sources):  # a source's documents lie end to end
+        own = sorted((r.start, r["size"]) for r in made.rows.collect() if r.source_no == i and r["size"])
+        assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[0][0] == 0 and sum(own[-1]) == s.size
+    assert {r.doc_id: r.taken for r in mixing.digest(docs).collect()} == want
+
+
 def test_targets_share_the_excess():
     sources = mixing.targets([("b", 10), (None, 100), ("a", 100), ("c", 0)], lambda i, n: [1, 1000, 1, 1][i], 3)
     assert [s.name for s in sources] == ["a", "b", "c", None]

@@ -104,6 +104,51 @@ def test_preferences(spark):
     assert preferences.digest(df.limit(0)).count() == 0
 
 
+def test_preferences_with_a_hot_first_turn_and_hard_rows(spark):
+    long_text = "word " * 40_000
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", "hi" if t == 0 else f"{i} {t}") for i in range(3000) for t in range(2 + i % 2)]
+    rows += [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, None, None, None), (9001, 0, "user", long_text), (9002, 0, "user", long_text), (9002, 1, "assistant", None)]
+    rows += [(9003, 0, "user", "tie"), (9004, 0, "user", "tie"), (9005, 1, "user", "twice"), (9005, 1, "user", "twice")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = preferences.digest(df).collect()
+    assert len(got) == 3000 + 3 + 5
+    hot = [r for r in got if r.conv_id is not None and r.conv_id < 9000]
+    best = min((i for i in range(1, 3000, 2)), key=lambda i: (-len(f"{i} 1{i} 2"), i))
+    assert {r.chosen_id for r in hot} == {best} and sum(r.rejected_text is None for r in hot) == 1
+    one = {r.conv_id: r for r in got}
+    assert one[9001].chosen_id == 9002 and one[9001].prompt_turns == 1 and one[9001].rejected_text == ""
+    assert one[9004].chosen_id == 9003 and one[9003].rejected_text is None
+    assert one[9005].chosen_text == "<|user|>\ntwice<|end|>\n" and one[9005].prompt_turns == 1
+    pairs = preferences.pair_up(preferences.conversations(df)).selectExpr("*", "1 AS prompt", "2 AS prompt_turns", "3 AS p", "4 AS rejected_mask")
+    made = preferences.format_pairs(pairs)
+    assert made.columns[:6] == ["conv_id", "chosen_id", "prompt", "prompt_turns", "p", "rejected_mask"] and "prompt_" in made.columns
+    assert made.first().prompt == 1
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    """All stages in sequence over nulls, empty and long texts, ties, repeated rows, an empty table, and against plain stages."""
+    good = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id", "left_semi").limit(12).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in good]
+    rows += [(None, good[0].text, None, None, None), (9001, None, None, None, None), (9002, "", None, "s", 0), (9003, " ".join([good[1].text] * 40), "en", None, None)]
+    rows += [(9004, good[2].text, "en", "s", 1), rows[3], rows[3]]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows += [(9005, good[4].text + " " + bench.first().text, "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for given in (rows, []):
+        spark.createDataFrame(given, schema).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        bench.write.mode("overwrite").parquet(str(tmp_path / "benchmark.parquet"))
+        spark.read.parquet(f"{SF}/labels.parquet").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        if not given:
+            assert out == []
+            continue
+        ids = {r.doc_id for r in out}
+        assert 9001 not in ids and 9002 not in ids and 9005 not in ids
+        assert not {9004, good[2].doc_id} <= ids
+        twice = [r for r in out if r.doc_id == rows[3][0]]
+        assert sum(len(r.text.split()) for r in twice) <= 3 * len(rows[3][1].split())
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids, seen = {r.doc_id for r in docs.collect()}, None
