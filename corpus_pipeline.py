@@ -25,7 +25,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.drop_duplicates(docs)
+    return neardup.drop_duplicates(docs, size=2)  # the shingles of the operator's contract
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
