@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_batches, materialise, need
+from .common import fresh, join_split, map_batches, materialise, need
 from .components import components
 
 COORDS, BANDS, ROWS = 128, 32, 4
@@ -237,10 +237,12 @@ def grouped(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) ->
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("no"), "*"))
     repeated = not named.groupBy("id", "key").count().where("count > 1").isEmpty()
     found = linked(docs, doc_id, text, classes, repeated, size, percent)
-    homes = classes.select("no", "set", "first").join(found.withColumnRenamed("node", "no"), "no", "left")
-    homes = homes.select("set", F.coalesce("component", "no").alias("component"), F.struct("first.id", "set", "first.key").alias("own"))
-    heads = homes.groupBy("component").agg(F.min("own").alias("head"))
-    head_of = homes.join(heads, "component").select("set", "head")
+    own = F.struct("first.id", "set", "first.key").alias("own")
+    homes = materialise(classes.select("no", "set", own).join(found.withColumnRenamed("node", "no"), "no", "left"))
+    grown = homes.where("component IS NOT NULL").select("component", "set", "own")
+    heads = materialise(grown.groupBy("component").agg(F.min("own").alias("head")))
+    head_of = join_split(grown, heads, "component", F.col("set")).select("set", "head")
+    head_of = head_of.union(homes.where("component IS NULL").select("set", "own"))
     done = rows.select("id", "key", "n", F.when(F.col("id").isNotNull(), F.col("set")).alias("set")).join(head_of, "set", "left")
     return done.select("id", "key", "n", "head")
 
@@ -276,7 +278,8 @@ def visitors(members: DataFrame, classes: DataFrame, sets: DataFrame, found: Dat
     """Links (u, v) between the components ``found`` so far."""
     label = members.select("bucket", "no", "k").join(found.withColumnRenamed("node", "no"), "no", "left")
     label = materialise(label.select("bucket", "no", "k", F.coalesce("component", "no").alias("component")))
-    sizes = materialise(label.select("no", "component").distinct().groupBy("component").agg(F.count("*").alias("size")))
+    placed = materialise(label.select("no", "component").distinct())
+    sizes = materialise(placed.groupBy("component").agg(F.count("*").alias("size")))
     # Of each open bucket its largest component, and blocks of the others (the rest) and of it.
     per = label.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.first("k").alias("k"))
     most = per.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("g"), F.first("k").alias("k")).where("g.n < k")
@@ -300,13 +303,12 @@ def visitors(members: DataFrame, classes: DataFrame, sets: DataFrame, found: Dat
 
     hosts = near.groupBy(F.col("host").alias("component")).agg(F.count("*").alias("guests")).join(sizes, "component")
     parts = lambda n, most: F.ceil(F.col(n) / most).cast("int")
-    hosts = hosts.select("component", parts("size", HOSTS).alias("blocks"), parts("guests", GUESTS).alias("chunks"))
+    hosts = materialise(hosts.select("component", parts("size", HOSTS).alias("blocks"), parts("guests", GUESTS).alias("chunks")))
     some = lambda n: F.pmod(F.xxhash64("no"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    homes = label.select("no", "component").distinct().join(hosts, "component")
-    homes = homes.select("component", some("blocks").alias("block"), each("chunks").alias("chunk"), "no", F.lit(False).alias("guest"))
-    guests = near.select(F.col("node").alias("no"), F.col("host").alias("component")).join(hosts, "component")
-    guests = guests.select("component", each("blocks").alias("block"), some("chunks").alias("chunk"), "no", F.lit(True).alias("guest"))
+    homes = join_split(placed, hosts, "component", F.col("no")).select("component", some("blocks").alias("block"), each("chunks").alias("chunk"), "no", F.lit(False).alias("guest"))
+    guests = near.select(F.col("node").alias("no"), F.col("host").alias("component"))
+    guests = join_split(guests, hosts, "component", F.col("no")).select("component", each("blocks").alias("block"), some("chunks").alias("chunk"), "no", F.lit(True).alias("guest"))
     # Guests are listed per block, so their table is larger than what it is made from: never broadcast it.
     both = homes.union(guests).hint("merge").join(sets.hint("merge"), "no")
     return both.groupBy("component", "block", "chunk").applyInPandas(visits(percent), "u long, v long").distinct()

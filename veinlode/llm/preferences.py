@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, need
+from .common import fresh, join_split, materialise, need
 
 Column = F.Column
 
@@ -109,15 +109,8 @@ def pair_up(convs: DataFrame) -> DataFrame:
         F.struct((-F.size("turns")).alias("t"), (-chars).alias("c"), F.col("conv_id").isNull().alias("n"), own.alias("i")).alias("rank"),
     )
     keyed = materialise(keyed)
-    best = materialise(keyed.groupBy("first").agg(F.min_by(F.struct("own", "turns"), "rank").alias("best"), F.count("*").alias("n")))
-    each = (best.agg(F.sum("n")).first()[0] or 0) / HOT
-    parts = F.ceil(F.col("n") / F.lit(max(1.0, each))).cast("int")
-    hot = best.where(F.col("n") > max(1.0, each)).select("first", parts.alias("parts"))  # HOT rows at most
-    some = F.coalesce(F.pmod(F.xxhash64("own"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
-    members = keyed.join(F.broadcast(hot), "first", "left").select("first", some, "own", "turns")
-    heads = best.join(F.broadcast(hot), "first", "left").select("first", every, "best")
-    both = members.join(heads, ["first", "part"])
+    best = materialise(keyed.groupBy("first").agg(F.min_by(F.struct("own", "turns"), "rank").alias("best")))
+    both = join_split(keyed.select("first", "own", "turns"), best, "first", F.col("own"), HOT)
     rejected = F.when(~F.col("own").eqNullSafe(F.col("best.own")), F.col("turns"))
     return both.select(
         F.col("own.conv_id").alias("conv_id"), F.col("best.own.conv_id").alias("chosen_id"), F.col("best.turns").alias("chosen"), rejected.alias("rejected")
