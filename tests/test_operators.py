@@ -50,15 +50,62 @@ def test_closure_and_reach(spark):
     assert {(r.node, r.hop) for r in near.collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def snapshot(spark, modules, cyclic=()):
+    return spark.createDataFrame([("s", m, ca, ce, m in cyclic) for m, ca, ce in modules], "snap string, module string, ca long, ce long, in_cycle boolean")
+
+
 def test_growth_label(spark):
-    rows = lambda x: spark.createDataFrame(x, "module string, total long")
-    touched = spark.createDataFrame([("a",)], "module string")
-    grown = lb.coupling_growth(rows([("a", 2), ("b", 2), ("c", 0)]), rows([("a", 5), ("b", 2), ("c", 0)]), touched, 1.0).first()
-    assert grown.growth == 3 and grown.label == 1
-    even = lb.coupling_growth(rows([("a", 2), ("b", 2)]), rows([("a", 4), ("b", 4)]), touched, 1.0).first()
-    assert even.excess == 0 and even.label == 0
-    gone = lb.coupling_growth(rows([("a", 2), ("b", 2)]), rows([("b", 4)]), touched, 1.0).first()
-    assert gone.label is None
+    touched = spark.createDataFrame([(1, "s", "a")], "sample long, snap string, module string")
+    at = snapshot(spark, [("a", 1, 1), ("b", 1, 1), ("c", 0, 0)])
+    grown = lb.future_coupling(at, snapshot(spark, [("a", 2, 3), ("b", 1, 1), ("c", 0, 0)]), touched, 0.5).first()
+    assert grown.growth == 3 and grown.trend == 1 and (grown.label, grown.reason) == (1, "excess_coupling_growth")
+    two = snapshot(spark, [("a", 1, 1), ("b", 1, 1)])
+    even = lb.future_coupling(two, snapshot(spark, [("a", 2, 2), ("b", 2, 2)]), touched, 0.5).first()
+    assert even.excess == 0 and (even.label, even.reason) == (0, "no_degradation")
+    cycle = lb.future_coupling(two, snapshot(spark, [("a", 1, 1), ("b", 1, 1)], cyclic={"a", "b"}), touched, 5.0).first()
+    assert (cycle.label, cycle.reason) == (1, "joined_new_cycle")
+    gone = lb.future_coupling(two, snapshot(spark, [("b", 4, 0)]), touched, 0.5).first()
+    assert gone.label is None and gone.reason == "touched_modules_missing_in_future"
+
+
+def test_censoring_comes_before_events(spark):
+    import datetime as dt
+
+    day = lambda y, m: dt.datetime(y, m, 1)
+    frame = spark.createDataFrame
+    samples = frame([(i, "r", day(2020, 1)) for i in range(8)] + [(8, "r", day(2021, 1)), (9, "q", day(2020, 1)), (10, None, day(2020, 1))], "sample_id long, repo string, at timestamp_ntz")
+    events = frame([(100, "r", day(2020, 3), True), (101, "r", day(2020, 4), False), (102, "r", day(2021, 2), True)], "event_id long, repo string, event_at timestamp_ntz, reviewed boolean")
+    files = frame([(i, "a.py") for i in range(11) if i != 1], "sample_id long, path string")
+    windows = frame([("r", day(2019, 1), day(2021, 3))], "repo string, observed_from timestamp_ntz, observed_until timestamp_ntz")
+    matches = frame(
+        [(0, 100, "verified", ["a.py"]), (0, 101, "verified", ["a.py"]), (4, 100, "unrelated_lineage", None), (4, 101, "verified", ["a.py"]), (5, 100, "verified", []), (5, 101, "unverified_boundary", None),
+         (6, 100, "verified", []), (6, 101, "unrelated_lineage", None), (7, 100, "verified", []), (8, 102, "verified", ["a.py"])],
+        "sample_id long, event_id long, status string, matched array<string>",
+    )
+    one = lambda i: frame([(i,)], "sample_id long")
+    got = {r.sample_id: (r.status, r.label) for r in lb.future_outcomes(samples, events, files, windows, matches, one(2), one(3), 6).collect()}
+    assert got == {
+        0: ("labelled", 1), 1: ("excluded_no_python_files", None), 2: ("excluded_non_substantive_change", None), 3: ("incomplete_sample_history", None),
+        4: ("unreviewed_outcome", None), 5: ("unverified_followup_history", None), 6: ("labelled", 0), 7: ("unverified_followup_history", None),
+        8: ("censored", None), 9: ("unverified_coverage", None), 10: ("invalid_metadata", None),
+    }
+
+
+def test_a_long_tail_loses_no_cycle(spark):
+    tail = [(f"t{i:02d}", f"t{i + 1:02d}") for i in range(12)]
+    e = edges(spark, [*tail, ("t12", "x"), ("x", "y"), ("y", "x")])
+    assert {r.module for r in g.cyclic(e, max_rounds=3).collect()} == {"x", "y"}
+    two = edges(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c")])
+    with pytest.raises(RuntimeError):
+        g.cyclic(two, max_rounds=1)
+
+
+def test_chains_and_owners(spark):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(6)], "sha long, parent long")
+    assert {(r.sha, r.depth, r.least) for r in g.chain_facts(chain).collect()} == {(i, i, 0) for i in range(1, 7)}
+    rows = [("m", None, "module", "pkg.m"), ("c", "m", "class", "x"), ("f", "c", "function", "y"), ("lost", "gone", "function", "z"), ("p", "q", "class", "p"), ("q", "p", "class", "q")]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string, type string, qualified_name string")
+    assert {r.id: r.module for r in g.owning_modules(nodes).collect()} == {"m": "pkg.m", "c": "pkg.m", "f": "pkg.m", "lost": None, "p": None, "q": None}
 
 
 def test_paths(spark):

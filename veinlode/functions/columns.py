@@ -67,6 +67,70 @@ def slug(text: Column, mark: str = "-") -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", mark), f"^{mark}+|{mark}+$", "")
 
 
+def before_first(text: Column, mark: str) -> Column:
+    """SF01: the part before the first mark; the whole text if there is none."""
+    return F.substring_index(text, mark, 1)
+
+
+def after_last(text: Column, mark: str) -> Column:
+    """SF01: the part after the last mark; the whole text if there is none."""
+    return F.substring_index(text, mark, -1)
+
+
+def without_ends(text: Column, start: str, end: str) -> Column:
+    """SF01: trimmed text without a given start and end, where it has them."""
+    t = F.trim(text)
+    t = F.when(t.startswith(start), F.substr(t, F.lit(len(start) + 1))).otherwise(t)
+    return F.when(t.endswith(end) & F.lit(bool(end)), F.substr(t, F.lit(1), F.length(t) - len(end))).otherwise(t)
+
+
+def first_match(text: Column, pattern: str, group: int = 0) -> Column:
+    """SF02: what a group matches first; null if the pattern doesn't match."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+
+
+def is_whole(text: Column, pattern: str) -> Column:
+    """SF02: whether the pattern matches the whole text."""
+    return F.coalesce(text.rlike(rf"\A(?:{pattern})\z"), F.lit(False))
+
+
+def fixed(x: Column, places: int, signed: bool = False) -> Column:
+    """SF05: a number with so many places, with its sign also where it is positive if ``signed``; null stays null. The
+    shortest decimal form of the number is what is rounded, halves away from zero."""
+    return F.when(x.isNotNull(), F.format_string(f"%{'+' if signed else ''}.{places}f", x.cast("double")))
+
+
+def half_even(x: Column, places: int) -> Column:
+    """SF14: rounded, halves to the even neighbour."""
+    return F.bround(x, places)
+
+
+def epoch_years(ts: Column) -> Column:
+    """SF09: years of 365.25 days since 1970."""
+    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6 * 86400 * 365.25)
+
+
+def snapshot_moments(ts: Column, months: int = 6) -> tuple[Column, Column]:
+    """SF08: the start of the month, and the same so many months earlier."""
+    start = F.date_trunc("month", ts)
+    return start, start - F.make_ym_interval(F.lit(0), F.lit(months))
+
+
+def project_key(text: Column) -> Column:
+    """SX40: runs of characters that a folder or project key can't hold as one underscore."""
+    return F.regexp_replace(text, r"[^A-Za-z0-9_.-]+", "_")
+
+
+def dotted_module(path: Column) -> Column:
+    """SX43: a path below the root as a module name; a package's __init__ is the package."""
+    return F.replace(F.regexp_replace(F.regexp_replace(normal_path(path), r"\.py$", ""), r"/__init__$", ""), F.lit("/"), F.lit("."))
+
+
+def manifest_version(path: Column) -> Column:
+    """SX14: the version that a file's name ends with; null if there is none."""
+    return first_match(path, r"_(v\d+)$", 1)
+
+
 def plain_dashes(text: Column) -> Column:
     """SF04: Unicode dashes and spaces as ASCII ones, runs of spaces as one."""
     return F.regexp_replace(F.translate(text, "‐‑‒–—−  ", "------  "), " +", " ")

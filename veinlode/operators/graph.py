@@ -143,22 +143,31 @@ def cyclic_per_graph(edges: DataFrame, by: str) -> DataFrame:
     return edges.select(by, "src", "dst").groupBy(by).applyInPandas(one, out)
 
 
+def trimmed(live: DataFrame) -> DataFrame:
+    """The edges left after nodes without incoming or outgoing ones are cut off until there are none: each pass takes some,
+    so it ends."""
+    n = live.count()
+    while n:
+        live = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        n, before = live.count(), n
+        if n == before:
+            break
+    return live
+
+
 def cyclic(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """GR05 for one graph of any size: (module, component) by trimming and forward-backward colouring.
 
-    Nodes without incoming or outgoing edges are cut off until none is left. Then every node takes the smallest
-    node that reaches it as its colour; within a colour, what reaches that node is its component.
+    After trimming, every node takes the smallest node that reaches it as its colour; within a colour, what reaches
+    that node is its component. Each round takes a component of every colour; reaching ``max_rounds`` raises.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("module"), F.col("src").alias("component")).distinct()
     live = cut(edges.where("src <> dst").select("src", "dst").distinct())
     done = None
     for _ in range(max_rounds):
-        before = live.count()
-        if not before:
+        live = trimmed(live)
+        if live.isEmpty():
             break
-        live = cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        if live.count() < before:
-            continue
         colour = spread_least(live, live.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), max_rounds)
         same = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
         same = cut(same.where("a = b").select("src", "dst", F.col("a").alias("colour")))
@@ -171,7 +180,10 @@ def cyclic(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             back = grown
         done = back if done is None else cut(done.union(back))
         gone = back.select("node")
-        live = cut(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        live = cut(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    else:
+        if not live.isEmpty():
+            raise RuntimeError(f"components are left after {max_rounds} rounds")
     found = loops if done is None else done.select(F.col("node").alias("module"), F.col("colour").alias("component"))
     if done is not None:
         size = found.groupBy("component").count().where("count > 1").select("component")
@@ -215,6 +227,79 @@ def closure(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the history is too deep, or has a cycle")
 
 
+def chain_facts(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """GR19, GR20: (sha, depth, least) along chains of one parent each: the number of ancestors, and the smallest of them.
+
+    Each sha keeps one pointer, which doubles its reach in a round, so a history of n commits takes n rows and log n
+    joins, not all pairs of an ancestor and a descendant.
+    """
+    far = parents.select("sha", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth"), F.col("parent").alias("least"))
+    for _ in range(max_rounds):
+        far = cut(far)
+        step = far.select(F.col("sha").alias("at"), F.col("at").alias("_to"), F.col("depth").alias("_n"), F.col("least").alias("_m"))
+        both = far.join(step, "at", "left")
+        if both.where("_n IS NOT NULL").isEmpty():
+            return far.select("sha", "depth", "least")
+        far = both.select("sha", F.when(F.col("_n").isNull(), F.col("at")).otherwise(F.col("_to")).alias("at"), (F.col("depth") + F.coalesce("_n", F.lit(0))).alias("depth"), F.least("least", "_m").alias("least"))
+    raise RuntimeError("the history is too deep, or has a cycle")
+
+
+def owning_modules(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """GR01: (id, module) of each node (id, parent_id, type, qualified_name): the nearest module at or above it, by its
+    name; null where none is, as in a loop of parents. Pointers to the parent double their reach in a round."""
+    up = nodes.select("id", F.when(F.col("type") == "module", F.col("qualified_name")).alias("module"), F.col("parent_id").alias("at"))
+    for _ in range(max_rounds):
+        up = cut(up)
+        step = up.select(F.col("id").alias("at"), F.col("module").alias("_m"), F.col("at").alias("_to"), F.lit(True).alias("_is"))
+        open_ = F.col("module").isNull() & F.coalesce("_is", F.lit(False))
+        both = up.join(step, "at", "left")
+        if both.where(open_).isEmpty():
+            break
+        up = both.select("id", F.coalesce("module", "_m").alias("module"), F.when(open_, F.col("_to")).otherwise(F.col("at")).alias("at"))
+    return up.select("id", "module")
+
+
+def touched_modules(modules: DataFrame, changed: DataFrame) -> DataFrame:
+    """GR06: modules (module, path) whose file is among the changed paths (path), with slashes either way."""
+    same = lambda c: F.replace(F.col(c), F.lit("\\"), F.lit("/"))
+    return modules.withColumn("_p", same("path")).join(changed.select(same("path").alias("_p")).distinct(), "_p", "left_semi").select("module")
+
+
+def touched_mask(nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """GR18: nodes (id, path) with ``touched``: whether their file is among the changed paths (path)."""
+    marked = changed.select("path").distinct().withColumn("_t", F.lit(True))
+    return nodes.join(marked, "path", "left").withColumn("touched", F.coalesce("_t", F.lit(False))).drop("_t")
+
+
+def constructor_edges(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """GR22: call edges (src, dst) in which a class that defines __init__ stands for that method; each once."""
+    made = nodes.where("name = '__init__'").select(F.col("parent_id").alias("dst"), F.col("id").alias("_init"))
+    return calls.join(made, "dst", "left").select("src", F.coalesce("_init", "dst").alias("dst")).distinct()
+
+
+def internal_edges(edges: DataFrame, package: str) -> DataFrame:
+    """GR23: edges between modules of the package, normalised: a package's __init__ is the package, no loops, each once."""
+    plain = lambda c: F.regexp_replace(c, r"\.__init__$", "")
+    inside = lambda c: (F.col(c) == package) | F.col(c).startswith(f"{package}.")
+    e = edges.select(plain("src").alias("src"), plain("dst").alias("dst"))
+    return e.where(inside("src") & inside("dst") & (F.col("src") != F.col("dst"))).distinct()
+
+
+def disagreements(ours: DataFrame, theirs: DataFrame, modules: DataFrame, causes: dict[str, Column]) -> DataFrame:
+    """GR24: (src, dst, side, cause) of the edges of one side only. A cause is the first whose test holds, of ``causes`` over
+    ``src``, ``dst``, ``side`` and ``known`` (whether both ends are modules), else "other"."""
+    one = ours.select("src", "dst").distinct().join(theirs, ["src", "dst"], "left_anti").withColumn("side", F.lit("ours"))
+    two = theirs.select("src", "dst").distinct().join(ours, ["src", "dst"], "left_anti").withColumn("side", F.lit("theirs"))
+    both = one.unionByName(two)
+    for end in ("src", "dst"):
+        both = both.join(modules.select(F.col("module").alias(end), F.lit(True).alias(f"_{end}")).distinct(), end, "left")
+    both = both.withColumn("known", F.coalesce("_src", F.lit(False)) & F.coalesce("_dst", F.lit(False)))
+    cause = F.lit("other")
+    for name, test in reversed(causes.items()):
+        cause = F.when(test, name).otherwise(cause)
+    return both.select("src", "dst", "side", cause.alias("cause"))
+
+
 def graph_change(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """GR12, SO02 to SO04: added, removed and kept rows of two sets, and their Jaccard distance (0 if both are empty)."""
     a = before.select(*keys).distinct().withColumn("_a", F.lit(1))

@@ -14,6 +14,8 @@ STOPWORDS = (
     "does do did can could would should will i me my we our you your about from into than then there their them they has have had not "
     "no yes so if but"
 ).split()
+# Fixed value: a citation in an answer.
+CITATION = r"\[([a-z]+:[^\]\s]+|dataset)\]"
 # What counts as a number in an answer that is held against an attribution, and against cards.
 CLAIM = r"(?<![\w.])-?\d+(?:\.\d+)?(?!\w|\.\d)"
 CARD_CLAIM = r"(?<![\w.#/-])[-+]?\d+(?:\.\d+)?%?(?![\w/])"
@@ -24,6 +26,12 @@ def tokens(text: Column, stop: bool) -> Column:
     return F.filter(words(text), lambda w: ~w.isin(STOPWORDS)) if stop else words(text)
 
 
+def has_words(text: Column, phrase: str) -> Column:
+    """SX29: whether a phrase stands in the text between other characters than letters, digits and underscores, without case."""
+    escaped = "".join(c if c.isalnum() or c in " _" else "\\" + c for c in phrase.lower())
+    return F.coalesce(F.lower(text).rlike(rf"(?<![a-z0-9_]){escaped}(?![a-z0-9_])"), F.lit(False))
+
+
 def index(cards: DataFrame, key: str, text: str, stop: bool = False) -> DataFrame:
     """SX28: (key, token, tf, length); a card without tokens has no row."""
     t = cards.select(key, tokens(F.col(text), stop).alias("_t"))
@@ -113,7 +121,7 @@ def card_supported(number: Column, values: Column) -> Column:
 
 def check_answer(text: Column, cards: Column, values: Column) -> dict[str, Column]:
     """XR19: citations in square brackets that aren't among the cards' ids, and numbers that no card supports."""
-    cited = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[([a-z]+:[^\]\s]+|dataset)\]"), F.lit(1)))
-    rest = F.regexp_replace(text, r"\[([a-z]+:[^\]\s]+|dataset)\]", " ")
+    cited = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITATION), F.lit(1)))
+    rest = F.regexp_replace(text, CITATION, " ")
     wrong = F.filter(numbers(rest, CARD_CLAIM), lambda n: ~card_supported(n, values))
     return {"citations": cited, "unknown_citations": F.array_except(cited, cards), "unsupported_numbers": wrong}

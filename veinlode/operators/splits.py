@@ -87,3 +87,27 @@ def batches(rows: DataFrame, split: str, order: str, size: int) -> DataFrame:
     """WN12: batch numbers of at most ``size`` rows that never mix splits."""
     n = F.row_number().over(Window.partitionBy(split).orderBy(order)) - 1
     return rows.withColumn("batch", F.floor(n / size).cast("long"))
+
+
+def split_by_repository(rows: DataFrame, cutoffs: DataFrame, repo: str) -> DataFrame:
+    """SP02: rows (repo, at, horizon_end) with the split that their repository's cutoffs (repo, train_cutoff,
+    validation_cutoff) give them; repositories without cutoffs have none and are left out."""
+    both = rows.join(cutoffs, repo)
+    split = temporal_split(F.col("at"), F.col("horizon_end"), F.col("train_cutoff"), F.col("validation_cutoff"))
+    return both.withColumn("split", split).drop("train_cutoff", "validation_cutoff")
+
+
+def cover_problems(splits: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """SP09: (key, problem) where given splits (key, split) aren't disjoint, or don't cover the known ids just so."""
+    a = splits.groupBy(key).agg(F.count("*").alias("_n"))
+    b = known.select(key).distinct().withColumn("_k", F.lit(True))
+    both = a.join(b, key, "full_outer")
+    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_k").isNull(), "unknown").when(F.col("_n") > 1, "twice")
+    return both.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def balanced_pick(rows: DataFrame, label: str, key: str, seed: str, n: int) -> DataFrame:
+    """SP10, WN07: the ``n`` rows of each class that come first in hash order; ``n`` is the size of the wanted test set."""
+    from .temporal import ranked_cut
+
+    return ranked_cut(rows, [label], [hash_order(F.col(key), seed), F.asc(key)], n)

@@ -146,11 +146,15 @@ def gr17_dense_indices(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT sha, parent AS ancestor FROM p WHERE parent IS NOT NULL UNION SELECT c.sha, p.parent FROM c JOIN p ON p.sha = c.ancestor WHERE p.parent IS NOT NULL)
 SELECT sha, count(*) AS ancestors, min(ancestor) AS least FROM c GROUP BY sha""")
 def gr19_ancestry(spark: SparkSession, d: str) -> DataFrame:
+    return g.chain_facts(parents(spark, d)).select("sha", F.col("depth").alias("ancestors"), "least")
+
+
+def parents(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as a line of commits, each with the one before it."""
     from pyspark.sql.window import Window
 
     chain = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    parents = table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.lag("o_orderkey").over(chain).alias("parent")).where("parent IS NOT NULL")
-    return g.closure(parents).groupBy("sha").agg(F.count("*").alias("ancestors"), F.min("ancestor").alias("least"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.lag("o_orderkey").over(chain).alias("parent")).where("parent IS NOT NULL")
 
 
 @query(f"""WITH {E} SELECT relation, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges WHERE year = 1995 GROUP BY relation""")
@@ -181,18 +185,111 @@ def jn11_mutual_imports(spark: SparkSession, d: str) -> DataFrame:
     return e.join(back, ["src", "dst"], "left_semi").where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-@query(f"""WITH {E}, {v.sql_edges('a', 1995)}, {v.sql_edges('b', 1996)},
-d AS (SELECT src AS m FROM a UNION ALL SELECT dst FROM a), d1 AS (SELECT m, count(*) AS k FROM d GROUP BY m),
-f AS (SELECT src AS m FROM b UNION ALL SELECT dst FROM b), d2 AS (SELECT m, count(*) AS k FROM f GROUP BY m), {TOUCHED},
-t AS (SELECT avg(coalesce(d2.k, 0) - coalesce(d1.k, 0)) AS growth FROM touched LEFT JOIN d1 ON d1.m = node LEFT JOIN d2 ON d2.m = node),
-w AS (SELECT 2.0::DOUBLE * ((SELECT count(*) FROM b) - (SELECT count(*) FROM a)) / (SELECT count(*) FROM supplier) AS trend)
-SELECT round(growth, 6) AS growth, round(trend, 6) AS trend, round(growth - trend, 6) AS excess, CASE WHEN growth - trend > 1.0 THEN 1 ELSE 0 END AS label FROM t, w""")
+CYCLES = """ra AS (SELECT src AS x, dst AS y FROM a UNION SELECT r.x, a.dst FROM ra r JOIN a ON a.src = r.y),
+rb AS (SELECT src AS x, dst AS y FROM b UNION SELECT r.x, b.dst FROM rb r JOIN b ON b.src = r.y),
+ca AS (SELECT r.x AS m, min(r.y) AS c FROM ra r JOIN ra q ON r.x = q.y AND r.y = q.x GROUP BY 1), cb AS (SELECT r.x AS m, min(r.y) AS c FROM rb r JOIN rb q ON r.x = q.y AND r.y = q.x GROUP BY 1)"""
+ALL_TOUCHED = "t AS (SELECT DISTINCT l_orderkey AS sample, l_suppkey AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE year(o_orderdate) = 1995)"
+
+
+def all_touched(spark: SparkSession, d: str) -> DataFrame:
+    """(sample, module) of every order of 1995."""
+    of_year = table(spark, d, "orders").where(F.year("o_orderdate") == 1995).select(F.col("o_orderkey").alias("sample"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_suppkey").alias("module")).join(of_year, "sample", "left_semi").distinct()
+
+
+def snapshot(spark: SparkSession, d: str, year: int) -> DataFrame:
+    """(snap, module, ca, ce, in_cycle) of the modules with an edge in that year."""
+    e = v.plain(spark, d, year)
+    ends = e.select(F.explode(F.array("src", "dst")).alias("module")).distinct()
+    on = g.cyclic(e).select("module", F.lit(True).alias("_c"))
+    return g.coupling(ends, e).join(on, "module", "left").select(F.lit("s").alias("snap"), "module", "ca", "ce", F.coalesce("_c", F.lit(False)).alias("in_cycle"))
+
+
+@query(f"""WITH RECURSIVE {E}, {v.sql_edges('a', 1995)}, {v.sql_edges('b', 1996)}, {CYCLES}, {ALL_TOUCHED},
+d1 AS (SELECT m, count(*) AS k FROM (SELECT src AS m FROM a UNION ALL SELECT dst FROM a) GROUP BY m), d2 AS (SELECT m, count(*) AS k FROM (SELECT src AS m FROM b UNION ALL SELECT dst FROM b) GROUP BY m),
+w AS (SELECT (SELECT avg(k) FROM d2) - (SELECT avg(k) FROM d1) AS trend),
+x AS (SELECT sample, avg(d2.k - d1.k) FILTER (d1.k IS NOT NULL AND d2.k IS NOT NULL) AS growth, count(*) FILTER (d1.k IS NOT NULL AND d2.k IS NOT NULL AND t.m IN (SELECT m FROM cb) AND t.m NOT IN (SELECT m FROM ca)) AS joined
+      FROM t LEFT JOIN d1 ON d1.m = t.m LEFT JOIN d2 ON d2.m = t.m GROUP BY 1),
+y AS (SELECT *, CASE WHEN growth IS NULL THEN 'touched_modules_missing_in_future' WHEN joined > 0 THEN 'joined_new_cycle' WHEN growth - trend > 0.5 THEN 'excess_coupling_growth' ELSE 'no_degradation' END AS reason FROM x, w)
+SELECT sample, round(growth, 6) AS growth, round(CASE WHEN growth IS NOT NULL THEN trend END, 6) AS trend, round(growth - trend, 6) AS excess, joined, reason,
+CASE reason WHEN 'touched_modules_missing_in_future' THEN NULL WHEN 'no_degradation' THEN 0 ELSE 1 END AS label FROM y""")
 def lb01_future_coupling_label(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.labels import coupling_growth
+    from ..operators.labels import future_coupling
+
+    out = future_coupling(snapshot(spark, d, 1995), snapshot(spark, d, 1996), all_touched(spark, d).withColumn("snap", F.lit("s")), 0.5)
+    return out.select("sample", *[F.round(c, 6).alias(c) for c in ("growth", "trend", "excess")], "joined", "reason", "label")
+
+
+@query(f"""WITH RECURSIVE {E}, {v.sql_edges('a', 1995)}, {v.sql_edges('b', 1996)}, {CYCLES}, {TOUCHED},
+sa AS (SELECT list(m ORDER BY m) AS members FROM ca GROUP BY c), sb AS (SELECT c, list(m ORDER BY m) AS members FROM cb GROUP BY c)
+SELECT c AS component, array_to_string(members, ',') AS members FROM sb WHERE members NOT IN (FROM sa) AND c IN (SELECT c FROM cb JOIN touched ON node = m)""")
+def lb02_new_cycles(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.labels import new_cycles
+
+    before, after = (g.cyclic(v.plain(spark, d, y)) for y in (1995, 1996))
+    out = new_cycles(before, after, touched(spark, d).withColumnRenamed("node", "module"))
+    return out.select("component", F.concat_ws(",", F.transform("members", lambda m: m.cast("string"))).alias("members"))
+
+
+def nested(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols: a supplier is a module, its even line items are methods of the odd ones, which are classes of it."""
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
+    name = F.concat_ws(":", "l_orderkey", "l_linenumber")
+    up = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("m"), F.col("s").cast("string"))).otherwise(F.concat_ws(":", "l_orderkey", (F.col("l_linenumber") - 1).cast("string")))
+    inner = lines.select(name.alias("id"), up.alias("parent_id"), F.lit("function").alias("type"), name.alias("qualified_name"))
+    mods = table(spark, d, "supplier").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit("module").alias("type"), F.concat(F.lit("pkg."), F.col("s_suppkey").cast("string")).alias("qualified_name"))
+    return mods.union(inner)
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_suppkey) AS s FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2),
+r AS (SELECT o, n, 'pkg.' || s AS module FROM l WHERE n = 1 UNION ALL SELECT l.o, l.n, r.module FROM r JOIN l ON l.o = r.o AND l.n = r.n + 1)
+SELECT l.o || ':' || l.n AS id, module FROM l LEFT JOIN r ON r.o = l.o AND r.n = l.n UNION ALL SELECT 'm' || s_suppkey, 'pkg.' || s_suppkey FROM supplier""")
+def gr01_owning_modules(spark: SparkSession, d: str) -> DataFrame:
+    return g.owning_modules(nested(spark, d))
+
+
+@query("""SELECT p_partkey AS module FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.1)""")
+def gr06_touched_modules(spark: SparkSession, d: str) -> DataFrame:
+    modules = table(spark, d, "part").select(F.col("p_partkey").alias("module"), F.concat(F.lit("src\\m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"))
+    changed = table(spark, d, "lineitem").where("l_discount >= 0.1").select(F.concat(F.lit("src/m"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path"))
+    return g.touched_modules(modules, changed)
+
+
+@query("""WITH i AS (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey < 12) SELECT DISTINCT l_partkey AS src, CASE WHEN l_suppkey IN (FROM i) THEN 'init' || l_suppkey ELSE 'c' || l_suppkey END AS dst FROM lineitem""")
+def gr22_constructor_calls(spark: SparkSession, d: str) -> DataFrame:
+    cls = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    calls = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), cls("l_suppkey").alias("dst"))
+    s = table(spark, d, "supplier")
+    inits = s.where("s_nationkey < 12").select(F.concat(F.lit("init"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("__init__").alias("name"), cls("s_suppkey").alias("parent_id"))
+    return g.constructor_edges(calls, inits)
+
+
+NAMED = """n AS (SELECT s_suppkey AS k, CASE s_nationkey % 3 WHEN 0 THEN 'pkg.m' || s_suppkey WHEN 1 THEN 'pkg.s' || s_nationkey || '.__init__' ELSE 'pkgs.m' || s_suppkey END AS name FROM supplier)"""
+
+
+def named_edges(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey")
+    name = F.when(n % 3 == 0, F.concat(F.lit("pkg.m"), k)).when(n % 3 == 1, F.concat(F.lit("pkg.s"), n.cast("string"), F.lit(".__init__"))).otherwise(F.concat(F.lit("pkgs.m"), k))
+    names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), name.alias("name"))
+    e = v.plain(spark, d, 1995)
+    for end in ("src", "dst"):
+        e = e.join(names.select(F.col("k").alias(end), F.col("name").alias(f"_{end}")), end)
+    return e.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+
+
+@query(f"""WITH {E}, {v.sql_edges('e', 1995)}, {NAMED}, x AS (SELECT regexp_replace(a.name, '\\.__init__$', '') AS src, regexp_replace(b.name, '\\.__init__$', '') AS dst FROM e JOIN n a ON a.k = src JOIN n b ON b.k = dst)
+SELECT DISTINCT src, dst FROM x WHERE src LIKE 'pkg.%' AND dst LIKE 'pkg.%' AND src <> dst""")
+def gr23_internal_imports(spark: SparkSession, d: str) -> DataFrame:
+    return g.internal_edges(named_edges(spark, d), "pkg")
+
 
-    m = v.modules(spark, d)
-    grown = coupling_growth(g.coupling(m, v.plain(spark, d, 1995)), g.coupling(m, v.plain(spark, d, 1996)), touched(spark, d).withColumnRenamed("node", "module"), 1.0)
-    return grown.select(*[F.round(c, 6).alias(c) for c in ("growth", "trend", "excess")], "label")
+@query(f"""WITH {E}, {v.sql_edges('a', 1995)}, {v.sql_edges('b', 1996)}, m AS (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey < 20),
+x AS (SELECT *, 'ours' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'theirs' FROM (FROM b EXCEPT FROM a))
+SELECT src, dst, side, CASE WHEN NOT (src IN (FROM m) AND dst IN (FROM m)) THEN 'unknown module' WHEN side = 'ours' AND src % 2 = 0 THEN 'conditional' ELSE 'other' END AS cause FROM x""")
+def gr24_disagreements(spark: SparkSession, d: str) -> DataFrame:
+    modules = table(spark, d, "supplier").where("s_nationkey < 20").select(F.col("s_suppkey").alias("module"))
+    causes = {"unknown module": ~F.col("known"), "conditional": (F.col("side") == "ours") & (F.col("src") % 2 == 0)}
+    return g.disagreements(v.plain(spark, d, 1995), v.plain(spark, d, 1996), modules, causes)
 
 
 @query(f"""WITH RECURSIVE {E}, {v.sql_edges('a', 1995)}, {v.sql_edges('b', 1996)},

@@ -47,19 +47,103 @@ def jn09_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     return t.interval_overlap(left, right, "k", 8).select("k", "x", "y")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderdate AS at FROM orders WHERE o_orderpriority <> '1-URGENT'),
-e AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderdate AS at FROM orders WHERE o_orderpriority = '1-URGENT'),
-n AS (SELECT o_custkey AS k, max(o_orderdate) AS seen FROM orders GROUP BY 1),
-f AS (SELECT s.id, s.at, s.k, (SELECT arg_min(e.id, (e.at, e.id)) FROM e WHERE e.k = s.k AND e.at > s.at AND e.at <= s.at + INTERVAL 6 MONTH) AS event_id FROM s)
-SELECT id AS sample_id, CASE WHEN event_id IS NOT NULL THEN 'labelled' WHEN seen < f.at + INTERVAL 6 MONTH THEN 'censored' ELSE 'labelled' END AS status, event_id,
-       CASE WHEN event_id IS NOT NULL THEN 1 WHEN seen >= f.at + INTERVAL 6 MONTH THEN 0 END AS label FROM f JOIN n USING (k)""")
-def lb03_outcome_labels(spark: SparkSession, d: str) -> DataFrame:
+FOLLOW = """s AS (SELECT o_orderkey AS sample_id, o_custkey AS repo, o_orderdate AS at FROM orders WHERE o_orderpriority <> '1-URGENT'),
+e AS (SELECT o_orderkey AS event_id, o_custkey AS repo, o_orderdate AS event_at, o_orderstatus = 'F' AS reviewed FROM orders WHERE o_orderpriority = '1-URGENT'),
+near AS (SELECT sample_id, event_id, event_at, reviewed FROM s JOIN e ON e.repo = s.repo AND event_at > s.at AND event_at <= s.at + INTERVAL 6 MONTH)"""
+
+
+def follow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, d, "orders")
     urgent = F.col("o_orderpriority") == "1-URGENT"
-    samples = o.where(~urgent).select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at"))
-    events = o.where(urgent).select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("event_at"))
-    ends = o.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderdate").alias("observed_until"))
-    return lb.label_outcomes(samples, events, ends, "k", 6)
+    samples = o.where(~urgent).select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("repo"), F.col("o_orderdate").alias("at"))
+    events = o.where(urgent).select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("repo"), F.col("o_orderdate").alias("event_at"), (F.col("o_orderstatus") == "F").alias("reviewed"))
+    return samples, events
+
+
+@query(f"WITH {FOLLOW} SELECT sample_id, event_id, event_at FROM near")
+def jn08_all_in_horizon(spark: SparkSession, d: str) -> DataFrame:
+    return lb.within_horizon(*follow(spark, d), "repo", 6)
+
+
+@query(f"""WITH {FOLLOW}, f AS (SELECT sample_id, arg_min(event_id, (event_at, event_id)) AS event_id FROM near GROUP BY 1), n AS (SELECT o_custkey AS repo, max(o_orderdate) AS seen FROM orders GROUP BY 1)
+SELECT s.sample_id, CASE WHEN seen < s.at + INTERVAL 6 MONTH THEN 'censored' ELSE 'labelled' END AS status, CASE WHEN seen >= s.at + INTERVAL 6 MONTH THEN event_id END AS event_id,
+CASE WHEN seen >= s.at + INTERVAL 6 MONTH THEN (event_id IS NOT NULL)::INT END AS label FROM s JOIN n USING (repo) LEFT JOIN f USING (sample_id)""")
+def jn10_first_in_horizon(spark: SparkSession, d: str) -> DataFrame:
+    ends = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("repo")).agg(F.max("o_orderdate").alias("observed_until"))
+    return lb.first_outcome(*follow(spark, d), ends, "repo", 6)
+
+
+STATUS = "CASE (sample_id + event_id) % 7 WHEN 0 THEN 'unverified_boundary' WHEN 1 THEN 'unrelated_lineage' WHEN 2 THEN 'uncertain_file_identity' ELSE 'verified' END"
+
+
+@query(f"""WITH {FOLLOW}, t AS (SELECT DISTINCT l_orderkey AS id, l_suppkey % 20 AS path FROM lineitem WHERE l_orderkey % 17 > 0),
+m AS (SELECT sample_id, event_id, {STATUS} AS status, EXISTS (SELECT 1 FROM t a JOIN t b ON a.path = b.path WHERE a.id = sample_id AND b.id = event_id) AS common FROM near WHERE (sample_id + event_id) % 5 > 0),
+w AS (SELECT o_custkey AS repo, min(o_orderdate) + INTERVAL 1 MONTH AS a, max(o_orderdate) AS b FROM orders WHERE o_custkey % 19 > 0 GROUP BY 1),
+x AS (SELECT s.sample_id, CASE WHEN s.sample_id % 11 = 0 THEN 'excluded_non_substantive_change' WHEN s.sample_id NOT IN (SELECT id FROM t) THEN 'excluded_no_python_files' WHEN w.a IS NULL THEN 'unverified_coverage'
+      WHEN s.at < w.a OR s.at + INTERVAL 6 MONTH > w.b THEN 'censored' WHEN s.sample_id % 13 = 0 THEN 'incomplete_sample_history' WHEN s.sample_id NOT IN (SELECT sample_id FROM m) THEN 'unverified_lineage' END AS early
+      FROM s LEFT JOIN w USING (repo)),
+r AS (SELECT near.sample_id, min((event_at, near.event_id)) FILTER (reviewed AND status = 'verified' AND common) AS event, list_sort(list(near.event_id) FILTER (NOT reviewed AND status = 'verified' AND common)) AS open,
+      list_sort(list(near.event_id) FILTER (coalesce(status NOT IN ('verified', 'unrelated_lineage'), true))) AS unknown FROM near LEFT JOIN m USING (sample_id, event_id) GROUP BY 1),
+y AS (SELECT x.sample_id, coalesce(early, CASE WHEN event IS NOT NULL THEN 'labelled' WHEN len(open) > 0 THEN 'unreviewed_outcome' WHEN len(unknown) > 0 THEN 'unverified_followup_history' ELSE 'labelled' END) AS status, event, open, unknown FROM x LEFT JOIN r USING (sample_id))
+SELECT sample_id, status, CASE WHEN status = 'labelled' THEN (event IS NOT NULL)::INT END AS label, CASE WHEN status = 'labelled' THEN struct_extract_at(event, 2) END AS event_id,
+array_to_string(CASE status WHEN 'unreviewed_outcome' THEN open WHEN 'unverified_followup_history' THEN unknown END, ',') AS unresolved FROM y""")
+def lb03_outcome_labels(spark: SparkSession, d: str) -> DataFrame:
+    samples, events = follow(spark, d)
+    k = F.col("sample_id")
+    files = table(spark, d, "lineitem").where("l_orderkey % 17 > 0").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 20).cast("string").alias("path")).distinct()
+    of = lambda name: files.withColumnRenamed("id", name)
+    pairs = lb.within_horizon(samples, events, "repo", 6).select("sample_id", "event_id").where("(sample_id + event_id) % 5 > 0")
+    common = pairs.join(of("sample_id"), "sample_id").join(of("event_id"), ["event_id", "path"]).groupBy("sample_id", "event_id").agg(F.collect_set("path").alias("matched"))
+    n = (k + F.col("event_id")) % 7
+    status = F.when(n == 0, "unverified_boundary").when(n == 1, "unrelated_lineage").when(n == 2, "uncertain_file_identity").otherwise("verified")
+    matches = pairs.join(common, ["sample_id", "event_id"], "left").withColumn("status", status)
+    windows = table(spark, d, "orders").where("o_custkey % 19 > 0").groupBy(F.col("o_custkey").alias("repo")).agg((F.min("o_orderdate") + F.expr("INTERVAL '1' MONTH")).alias("observed_from"), F.max("o_orderdate").alias("observed_until"))
+    out = lb.future_outcomes(samples, events, of("sample_id"), windows, matches, samples.where(k % 11 == 0), samples.where(k % 13 == 0), 6)
+    listed = F.when(F.col("unresolved").isNotNull(), F.concat_ws(",", F.transform("unresolved", lambda x: x.cast("string"))))
+    return out.withColumn("event_id", F.when(F.col("status") == "labelled", F.col("event_id"))).withColumn("unresolved", listed)
+
+
+LINES = "c AS (SELECT o_orderkey AS sha, o_custkey AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS place, o_orderpriority, o_orderstatus FROM orders)"
+
+
+@query(f"""WITH {LINES}, p AS (SELECT a.sha AS sample_id, b.sha AS event_id FROM c a JOIN c b ON a.o_orderpriority = '1-URGENT' AND ((a.line = b.line AND b.place IN (a.place + 1, a.place + 3)) OR (b.line = a.line + 1 AND b.place = 1))),
+f AS (SELECT DISTINCT l_orderkey AS id, l_suppkey % 20 AS path FROM lineitem), m AS (SELECT DISTINCT c.line, c.place, l_suppkey % 20 AS path FROM lineitem JOIN c ON sha = l_orderkey WHERE l_returnflag = 'R' AND l_discount >= 0.09),
+x AS (SELECT sample_id, event_id, s.line AS sl, e.line AS el, s.place AS sp, e.place - 1 AS bp, s.o_orderstatus <> 'P' AND e.o_orderstatus <> 'P' AS ok FROM p JOIN c s ON s.sha = sample_id JOIN c e ON e.sha = event_id),
+y AS (SELECT *, CASE WHEN sl <> el THEN 'unrelated_lineage' WHEN NOT ok THEN 'unverified_boundary' WHEN EXISTS (SELECT 1 FROM f JOIN m ON m.path = f.path WHERE f.id = sample_id AND m.line = sl AND m.place > sp AND m.place <= bp) THEN 'uncertain_file_identity' ELSE 'verified' END AS status FROM x)
+SELECT sample_id, event_id, status, CASE WHEN status = 'verified' THEN (SELECT count(*) FROM f a JOIN f b ON a.path = b.path WHERE a.id = sample_id AND b.id = event_id) END AS matched FROM y""")
+def jn13_lineage_match(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    from ..operators import lineage
+
+    own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    place = (F.row_number().over(own) - 1).cast("long")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_custkey").alias("line"), place.alias("place"), F.lag("o_orderkey").over(own).alias("before_sha"), "o_orderpriority", "o_orderstatus")
+    o = store.cut(o)
+    at = o.where("o_orderpriority = '1-URGENT'").select(F.col("sha").alias("sample_id"), F.explode(F.array(F.struct("line", (F.col("place") + 1).alias("place")), F.struct("line", (F.col("place") + 3).alias("place")), F.struct((F.col("line") + 1).alias("line"), F.lit(1).cast("long").alias("place")))).alias("x"))
+    pairs = at.select("sample_id", "x.line", "x.place").join(o.select(F.col("sha").alias("event_id"), "line", "place"), ["line", "place"]).select("sample_id", "event_id")
+    records = o.select(F.col("sha").alias("pr_id"), "sha", "before_sha", (F.col("o_orderstatus") != "P").alias("verified"))
+    commits = o.select("sha", "line", "place", F.create_map("line", "place").alias("reaches"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 20).cast("string").alias("path"), "l_returnflag", "l_discount")
+    files = lambda name: lines.select(F.col("l_orderkey").alias(name), "path").distinct()
+    moved = lines.where("l_returnflag = 'R' AND l_discount >= 0.09").join(o.select(F.col("sha").alias("l_orderkey"), "line", "place"), "l_orderkey").select("line", "place", "path").distinct()
+    found = lineage.match(pairs, commits, records, files("sample_id"), files("event_id"), moved)
+    return found.select("sample_id", "event_id", "status", F.when(F.col("matched").isNotNull(), F.size("matched")).cast("long").alias("matched"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS sample_id, l_linenumber AS event_id, CASE l_returnflag WHEN 'R' THEN 'verified' WHEN 'A' THEN 'unrelated_lineage' ELSE 'unknown_lineage' END AS status, l_quantity > 25 AS files FROM lineitem)
+SELECT sample_id, count(*) FILTER (status = 'verified' AND files) AS matches, count(*) FILTER (status <> 'unknown_lineage') AS settled FROM m GROUP BY 1""")
+def lb07_lineage_states(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.lineage import is_match, is_settled
+
+    status = F.when(F.col("l_returnflag") == "R", "verified").when(F.col("l_returnflag") == "A", "unrelated_lineage").otherwise("unknown_lineage")
+    files = F.when(F.col("l_quantity") > 25, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.count_if(is_match(status, files)).alias("matches"), F.count_if(is_settled(status)).alias("settled"))
+
+
+@query("""SELECT doc_id FROM documents WHERE regexp_matches(lower(source), '(^|[^\\w-])src[13]($|[^\\w-])')""".replace("\\\\", "\\"))
+def lb04_title_events(spark: SparkSession, d: str) -> DataFrame:
+    return lb.title_events(table(spark, d, "documents"), ["src1", "src3"], "source").select("doc_id")
 
 
 @query("""SELECT l_partkey, l_shipdate, l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey ORDER BY l_shipdate RANGE BETWEEN INTERVAL 182 DAY PRECEDING AND CURRENT ROW) AS recent FROM lineitem""")

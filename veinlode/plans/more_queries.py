@@ -91,8 +91,9 @@ def fl09_provenance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_suppkey, 'fl' || (s_suppkey % 3) AS file, s_nationkey IN (1, 2, 3) AS touched FROM supplier")
 def gr18_touched_masks(spark: SparkSession, d: str) -> DataFrame:
-    node = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.concat(F.lit("fl"), (F.col("s_suppkey") % 3).cast("string"), F.lit(":mod")).alias("id"))
-    return node.select("s_suppkey", F.split("id", ":")[0].alias("file"), F.col("s_nationkey").isin(1, 2, 3).alias("touched"))
+    nodes = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("fl"), (F.col("s_suppkey") % 3).cast("string")).alias("file"), F.col("s_nationkey").cast("string").alias("path"))
+    changed = table(spark, d, "nation").where("n_nationkey IN (1, 2, 3)").select(F.col("n_nationkey").cast("string").alias("path"))
+    return g.touched_mask(nodes, changed).select("s_suppkey", "file", "touched")
 
 
 @query(f"""WITH {E}, {v.sql_edges('e', 1995)}, s AS (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12) SELECT 'kept' AS state, count(*) AS n FROM e WHERE src IN (FROM s) AND dst IN (FROM s)
@@ -109,9 +110,9 @@ def gr21_fit_schema(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT sha, parent AS a, 1 AS n FROM p WHERE parent IS NOT NULL UNION ALL SELECT c.sha, p.parent, n + 1 FROM c JOIN p ON p.sha = c.a WHERE p.parent IS NOT NULL)
 SELECT sha, max(n) AS depth FROM c GROUP BY sha""")
 def gr20_first_parent_chain(spark: SparkSession, d: str) -> DataFrame:
-    chain = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    parents = table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.lag("o_orderkey").over(chain).alias("parent")).where("parent IS NOT NULL")
-    return g.closure(parents).groupBy("sha").agg(F.count("*").cast("int").alias("depth"))
+    from .graph_queries import parents
+
+    return g.chain_facts(parents(spark, d)).select("sha", F.col("depth").cast("int").alias("depth"))
 
 
 @query(f"""WITH {E}, n AS (SELECT src AS id, src * 10 + dst AS seq FROM edges WHERE year = 1995 UNION ALL SELECT dst, src * 10 + dst FROM edges WHERE year = 1995),

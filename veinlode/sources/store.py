@@ -15,10 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut at a checkpoint in the shared folder; a folder is set only where none is."""
+    """``df`` with its lineage cut at a checkpoint in the shared folder. Where none is named, a local session gets a
+    temporary one; on a cluster, whose executors couldn't share that, it is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veinlode-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veinlode-"))
     return df.checkpoint(eager=True)
 
 
