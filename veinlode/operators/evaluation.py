@@ -181,3 +181,23 @@ def late_fusion(rows: DataFrame, a: str, b: str, alphas: list[float]) -> DataFra
     mixed = rows.select("label", a, b, grid)
     score = sigmoid(F.col("alpha") * logit(F.col(a)) + (1 - F.col("alpha")) * logit(F.col(b)))
     return average_precision(mixed.select("alpha", "label", F.round(score, 9).alias("score")), ["alpha"]).orderBy(F.desc(F.round("ap", 12)), F.desc("alpha"))
+
+
+def order_bounds(means: DataFrame, value: str, share: float = 0.95) -> DataFrame:
+    """EV14: the bounds of the middle ``share`` of resampled means, as order statistics (the 25th and 976th of 1,000)."""
+    w = Window.orderBy(value)  # one row per resample
+    at = means.select(value, (F.row_number().over(w) - 1).alias("_i"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    low, high = F.floor(F.col("_n") * F.lit((1 - share) / 2)), F.floor(F.col("_n") * F.lit((1 + share) / 2))
+    pick = lambda p: F.max(F.when(F.col("_i") == p, F.col(value)))
+    return at.agg(pick(low).alias("low"), pick(high).alias("high"))
+
+
+def covered(rows: DataFrame, value: str) -> DataFrame:
+    """EV09: the rows that a tool has a value for, so that all are compared on the same ones."""
+    return rows.where(F.col(value).isNotNull())
+
+
+def score_table(rows: DataFrame, threshold: float, places: int = 3) -> DataFrame:
+    """EV21: (split, rows, risky, flagged, mean_score) for display, rounded."""
+    s = rows.groupBy("split").agg(F.count("*").alias("rows"), F.sum("label").alias("risky"), F.count_if(F.col("score") >= threshold).alias("flagged"), F.avg("score").alias("mean_score"))
+    return s.withColumn("mean_score", F.round("mean_score", places))

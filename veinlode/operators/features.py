@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.columns import epoch_years
+from ..sources.store import cut
 
 
 def hotspots(files: DataFrame, changes: DataFrame, complexity: DataFrame) -> DataFrame:
@@ -57,14 +61,14 @@ def tfidf(tokens: DataFrame, key: str, token: str, train: Column, min_df: int, m
     Terms: in ``min_df`` training documents at least, the ``max_terms`` commonest (ties by term). The terms are joined
     back as a table, so the vocabulary may be of any size.
     """
-    tf = tokens.groupBy(key, token).agg(F.count("*").alias("tf"), F.max(train.cast("int")).alias("_train"))
+    tf = cut(tokens.groupBy(key, token).agg(F.count("*").alias("tf"), F.max(train.cast("int")).alias("_train")))
     df = tf.where("_train = 1").groupBy(token).agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where(F.col("df") >= min_df)
     terms = df.orderBy(F.desc("all"), token).limit(max_terms)
-    n = tokens.where(train).agg(F.countDistinct(key).alias("n"))
+    n = tf.where("_train = 1").agg(F.countDistinct(key).alias("n"))
     idf = terms.crossJoin(F.broadcast(n)).select(token, (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, token).select(key, token, ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, token, (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # a group is one document's terms
+    return w.select(key, token, (F.col("w") / norm).alias("weight"))
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
@@ -72,3 +76,36 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     c = rows.groupBy(label).agg(F.count("*").alias("k"))
     s = c.agg(F.sum("k").alias("n"), F.count("*").alias("classes"))
     return c.crossJoin(F.broadcast(s)).select(label, (F.col("n") / (F.col("classes") * F.col("k"))).alias("weight"))
+
+
+def shortcut_features(samples: DataFrame) -> DataFrame:
+    """FE02: (sample, merge_years, log_nodes, log_edges, log_modules) from (sample, merged_at, nodes, edges, modules)."""
+    return samples.select("sample", epoch_years(F.col("merged_at")).alias("merge_years"), *[F.log1p(c).alias(f"log_{c}") for c in ("nodes", "edges", "modules")])
+
+
+def metric_columns(before: DataFrame, after: DataFrame, change: DataFrame, key: str, metrics: list[str], changes: list[str]) -> DataFrame:
+    """FE04: per sample each metric before the change and its difference to after, and the counts of changes, as doubles."""
+    a = before.select(key, *[F.col(m).cast("double").alias(f"before_{m}") for m in metrics])
+    b = after.select(key, *[F.col(m).cast("double").alias(f"_{m}") for m in metrics])
+    c = change.select(key, *[F.col(m).cast("double").alias(f"change_{m}") for m in changes])
+    delta = [(F.col(f"_{m}") - F.col(f"before_{m}")).alias(f"delta_{m}") for m in metrics]
+    return a.join(b, key).join(c, key).select(key, *[f"before_{m}" for m in metrics], *delta, *[f"change_{m}" for m in changes])
+
+
+def tool_features(rows: DataFrame, key: str, train: Column, names: list[str], least: float = 0.99) -> tuple[str, DataFrame]:
+    """FE13: rows with one column per metric, null where a tool failed. If ``least`` of the samples have a value, ("full", all of
+    them, with nulls filled by the median of the training rows); else ("delta", the changes alone of the covered ones)."""
+    some = F.coalesce(*[F.col(n).cast("double") for n in names])
+    s = rows.agg(F.avg(some.isNotNull().cast("double")).alias("share"), *[F.percentile(F.when(train, F.col(n)), 0.5).alias(n) for n in names]).first()
+    if (s["share"] or 0.0) < least:
+        return "delta", rows.where(some.isNotNull()).select(key, *[n for n in names if n.startswith("delta_")])
+    return "full", rows.select(key, *[F.coalesce(F.col(n).cast("double"), F.lit(s[n]).cast("double")).alias(n) for n in names])
+
+
+def side_totals(files: DataFrame, key: str, value: str, measured: DataFrame) -> DataFrame:
+    """FE09, FE14: per sample the total of each side and the change, from (key, side, value) of its files. ``measured``: (key,
+    side) that the tool has read: a side without files counts 0 there, and is null where it wasn't read."""
+    total = files.groupBy(key, "side").agg(F.sum(value).alias("_t"))
+    both = measured.select(key, "side").distinct().join(total, [key, "side"], "left").withColumn("_t", F.coalesce("_t", F.lit(0.0)))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("_t"))).alias(side)
+    return both.groupBy(key).agg(of("before"), of("after")).withColumn("delta", F.col("after") - F.col("before"))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .labels import future_coupling
+from .temporal import overlapping_pairs
 
 
 def recent_activity(prs: DataFrame, months: int) -> DataFrame:
@@ -23,6 +27,44 @@ def recent_activity(prs: DataFrame, months: int) -> DataFrame:
     return both.select("pr", log("n").alias("log_commits"), log("k").alias("log_authors"))
 
 
+def coupling_history(past: DataFrame, recent: DataFrame, touched: DataFrame) -> DataFrame:
+    """FE01: the ten features of a sample's touched modules from the snapshots at the start of its merge month and six months
+    earlier; both are (snap, module, ca, ce, in_cycle), ``touched`` is (sample, snap, module). What can't be known is 0."""
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    told = touched.select("sample", "snap", "module").distinct()
+    total = F.col("ca") + F.col("ce")
+    r = told.join(recent.select("snap", "module", total.alias("_n"), "in_cycle"), ["snap", "module"], "left")
+    r = r.join(past.select("snap", "module", F.lit(True).alias("_old")), ["snap", "module"], "left")
+    s = r.groupBy("sample", "snap").agg(
+        zero(F.avg("_n")).alias("touched_mean_coupling"), zero(F.max("_n")).alias("touched_max_coupling"),
+        (F.count_if("in_cycle") / F.count("*")).alias("touched_in_cycle_share"), (F.count_if("_old") / F.count("*")).alias("touched_existed_6_months_ago"),
+    )
+    repo = recent.groupBy("snap").agg(F.avg(total).alias("_mean"), F.count("*").alias("_modules"))
+    momentum = future_coupling(past, recent, touched, 0.5).select("sample", "growth", "trend", "excess", "joined")
+    both = s.join(repo, "snap", "left").join(momentum, "sample", "left")
+    joined = F.when(F.col("growth").isNotNull(), (F.col("joined") > 0).cast("double"))
+    return both.select(
+        "sample", zero(F.col("growth")).alias("past_coupling_growth"), zero(F.col("trend")).alias("past_repository_trend"), zero(F.col("excess")).alias("past_excess_growth"),
+        zero(joined).alias("past_joined_cycle"), "touched_existed_6_months_ago", "touched_mean_coupling", "touched_max_coupling", "touched_in_cycle_share",
+        zero(F.col("_mean")).alias("repo_mean_coupling"), zero(F.log1p("_modules")).alias("log_repo_modules"),
+    )
+
+
+def file_activity(sets: DataFrame, days: int = 182) -> DataFrame:
+    """FE01: (pr, log_file_commits, log_file_authors, log_repo_commits) of the commits of a change's repository in the ``days``
+    days before it, that touch one of its files, or at all. ``sets`` is long: (pr, repo, at, author, file)."""
+    prs = sets.select("pr", "repo", "at", "author").distinct()
+    pairs = overlapping_pairs(sets, "repo", "file", "pr", "at", days=days).select("earlier", F.col("later").alias("pr"))
+    seen = pairs.join(prs.select(F.col("pr").alias("earlier"), F.lower("author").alias("_a")), "earlier").groupBy("pr").agg(F.count("*").alias("_n"), F.countDistinct("_a").alias("_k"))
+    # Commits of a repository are counted by moment before the running window, and by day where it is hot.
+    at = prs.groupBy("repo", "at").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("repo").orderBy(F.col("at").cast("timestamp").cast("long")).rangeBetween(-days * 86400, -1)
+    of_repo = at.select("repo", "at", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_r"))
+    both = prs.select("pr", "repo", "at").join(of_repo, ["repo", "at"]).join(seen, "pr", "left")
+    log = lambda c: F.log1p(F.coalesce(F.col(c), F.lit(0)))
+    return both.select("pr", log("_n").alias("log_file_commits"), log("_k").alias("log_file_authors"), log("_r").alias("log_repo_commits"))
+
+
 def live_mode(merged: Column, open_: Column, parents: Column) -> Column:
     """LB15: how a live change set is compared: its merge commit, its squash or rebase, its test merge, or its base."""
     return F.when(merged & (parents >= 2), "merge_commit").when(merged, "squash_or_rebase").when(open_, "open").otherwise("closed")

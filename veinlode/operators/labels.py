@@ -188,3 +188,10 @@ def view_filter(rows: DataFrame, splits: list[str] | None = None, flagged: bool
     out = rows if splits is None else rows.where(F.col("split").isin(splits))
     out = out if flagged is None else out.where((F.col("score") >= threshold) == F.lit(flagged))
     return out if not title_part else out.where(F.lower("title").contains(title_part.lower()))
+
+
+def without_executable_change(changes: DataFrame) -> DataFrame:
+    """LB09: (sample_id) of the change sets whose files all are modified in place, and have the same executable syntax tree
+    before and after. ``changes``: (sample_id, status, before_path, after_path, before_hash, after_hash)."""
+    same = (F.col("status") == "M") & (F.col("before_path") == F.col("after_path")) & (F.col("before_hash") == F.col("after_hash"))
+    return changes.groupBy("sample_id").agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("_same")).where("_same").select("sample_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import words
+from ..sources.store import cut
 
 # Words that the chat retriever doesn't count.
 STOPWORDS = (
@@ -45,8 +46,8 @@ def bm25(cards: DataFrame, queries: DataFrame, card: str, query: str, text: str,
     ``distinct``: a query's tokens count once (the signature retriever) or as often as it has them (the chat
     retriever). The join is by token; only matching tokens of the index move.
     """
-    t = index(cards, card, text, stop)
-    n = cards.select(F.count("*").alias("n"), F.sum(F.size(tokens(F.col(text), stop))).alias("words"))  # one row
+    t = cut(index(cards, card, text, stop))  # read for terms, lengths and matches: tokenised once
+    n = cards.agg(F.count("*").alias("n")).crossJoin(t.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")))  # one row each
     df = t.groupBy("token").agg(F.count("*").alias("df"))
     q = queries.select(query, F.explode(tokens(F.col(text), stop)).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qn"))
     terms = q.join(df, "token").crossJoin(F.broadcast(n))

@@ -21,15 +21,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str
     return seen.select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def overlapping_pairs(sets: DataFrame, group: str, item: str, key: str, at: str, months: int) -> DataFrame:
-    """JN07: (earlier, later, shared) pairs of one group with start < later <= start + months and common items.
+def overlapping_pairs(sets: DataFrame, group: str, item: str, key: str, at: str, months: int = 0, days: int = 0) -> DataFrame:
+    """JN07: (earlier, later, shared) pairs of one group with start < later <= start + months (or days) and common items.
 
-    ``sets`` is long: (group, key, at, item). The join is on (group, item); pairs are counted after it.
+    ``sets`` is long: (group, key, at, item). Earlier rows are listed in the months of their horizon, later ones lie in
+    one, and the join is on (group, item, month): rows of a hot item that are out of reach never meet.
     """
     rows = sets.select(group, key, at, item).distinct()
-    a = rows.select(group, item, F.col(key).alias("earlier"), F.col(at).alias("_a"))
-    b = rows.select(group, item, F.col(key).alias("later"), F.col(at).alias("_b"))
-    near = a.join(b, [group, item]).where((F.col("_b") > F.col("_a")) & (F.col("_b") <= F.col("_a") + F.make_ym_interval(F.lit(0), F.lit(months))))
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    span = months if months else days // 28 + 1
+    far = F.col("_a") + (F.make_ym_interval(F.lit(0), F.lit(months)) if months else F.make_dt_interval(F.lit(days)))
+    a = rows.select(group, item, F.col(key).alias("earlier"), F.col(at).alias("_a"), F.explode(F.sequence(month(at), month(at) + span)).alias("_month"))
+    b = rows.select(group, item, F.col(key).alias("later"), F.col(at).alias("_b"), month(at).alias("_month"))
+    near = a.join(b, [group, item, "_month"]).where((F.col("_b") > F.col("_a")) & (F.col("_b") <= far))
     return near.groupBy("earlier", "later").agg(F.count("*").alias("shared"))
 
 

@@ -11,7 +11,10 @@ import builtins
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 FACTS = (
     "snapshot_id string, path string, kind string, id string, name string, qualified_name string, parent_id string, "
@@ -180,15 +183,15 @@ class Reader:
 def extract(files: DataFrame) -> DataFrame:
     """AX01 to AX11: facts of ``files`` (snapshot_id, path, module, source)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(StructType.fromDDL(FACTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for f in batch.itertuples() for r in Reader(f.snapshot_id, f.path, f.module).read(f.source or "")]
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            for c in ("line", "end_line", "complexity"):
-                out[c] = out[c].astype("Int32")
-            yield out.astype({"via_import": "boolean"})
+            files_ = batch.to_pylist()
+            rows = [r for f in files_ for r in Reader(f["snapshot_id"], f["path"], f["module"]).read(f["source"] or "")]
+            yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in COLUMNS} for r in rows], schema=schema)
 
-    return files.select("snapshot_id", "path", "module", "source").mapInPandas(run, FACTS)
+    return files.select("snapshot_id", "path", "module", "source").mapInArrow(run, FACTS)
 
 
 def executable_hash(source: str) -> str | None:
@@ -204,3 +207,37 @@ def executable_hash(source: str) -> str | None:
         if isinstance(node, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and body and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
             node.body = body[1:]
     return hashlib.sha256(ast.dump(tree).encode()).hexdigest()
+
+
+#: Larger sources aren't parsed for review evidence: a fixed value.
+LARGEST = 512 * 1024
+
+
+def review_facts(files: DataFrame, key: list[str]) -> DataFrame:
+    """AX22, AX24: ``files`` (key columns, source) with ``status`` (ok, missing, too_large, parse_error), the sorted names that
+    it imports and declares, and the hash of its executable syntax tree."""
+
+    def names(source: str) -> tuple[str, list, list]:
+        if source is None:
+            return "missing", [], []
+        if len(source.encode("utf-8", "replace")) > LARGEST:
+            return "too_large", [], []
+        try:
+            tree = ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return "parse_error", [], []
+        imports = {a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names}
+        imports |= {"." * n.level + (n.module or "") + ":" + a.name for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) for a in n.names}
+        declared = {n.name for n in ast.walk(tree) if isinstance(n, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))}
+        return "ok", sorted(imports), sorted(declared)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [names(x) for x in batch["source"]]
+            for i, name in enumerate(("status", "imports", "declared")):
+                batch[name] = [f[i] for f in found]
+            batch["executable"] = [executable_hash(x) if f[0] == "ok" else None for x, f in zip(batch["source"], found)]
+            yield batch.drop(columns=["source"])
+
+    kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in key)
+    return files.select(*key, "source").mapInPandas(run, f"{kinds}, status string, imports array<string>, declared array<string>, executable string")
