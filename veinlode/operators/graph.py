@@ -244,11 +244,12 @@ def chain_facts(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the history is too deep, or has a cycle")
 
 
-def owning_modules(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def owning_modules(nodes: DataFrame) -> DataFrame:
     """GR01: (id, module) of each node (id, parent_id, type, qualified_name): the nearest module at or above it, by its
-    name; null where none is, as in a loop of parents. Pointers to the parent double their reach in a round."""
+    name; null where none is, as in a loop of parents. Pointers to the parent double their reach in a round, so that
+    after as many rounds as the number of nodes has binary digits only loops are left."""
     up = nodes.select("id", F.when(F.col("type") == "module", F.col("qualified_name")).alias("module"), F.col("parent_id").alias("at"))
-    for _ in range(max_rounds):
+    for _ in range(nodes.count().bit_length()):
         up = cut(up)
         step = up.select(F.col("id").alias("at"), F.col("module").alias("_m"), F.col("at").alias("_to"), F.lit(True).alias("_is"))
         open_ = F.col("module").isNull() & F.coalesce("_is", F.lit(False))

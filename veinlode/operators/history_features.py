@@ -39,7 +39,7 @@ def coupling_history(past: DataFrame, recent: DataFrame, touched: DataFrame) ->
         zero(F.avg("_n")).alias("touched_mean_coupling"), zero(F.max("_n")).alias("touched_max_coupling"),
         (F.count_if("in_cycle") / F.count("*")).alias("touched_in_cycle_share"), (F.count_if("_old") / F.count("*")).alias("touched_existed_6_months_ago"),
     )
-    repo = recent.groupBy("snap").agg(F.avg(total).alias("_mean"), F.count("*").alias("_modules"))
+    repo = recent.groupBy("snap").agg(F.avg(2 * F.col("ce")).alias("_mean"), F.count("*").alias("_modules"))
     momentum = future_coupling(past, recent, touched, 0.5).select("sample", "growth", "trend", "excess", "joined")
     both = s.join(repo, "snap", "left").join(momentum, "sample", "left")
     joined = F.when(F.col("growth").isNotNull(), (F.col("joined") > 0).cast("double"))

@@ -15,11 +15,11 @@ def future_coupling(at_merge: DataFrame, future: DataFrame, touched: DataFrame,
 
     ``at_merge``, ``future``: (snap, module, ca, ce, in_cycle), all modules of two snapshots of a repository; samples may
     share them. Growth is the mean change of the couplings of the touched modules that both snapshots have; the trend is
-    the difference of the snapshots' mean couplings, over all modules of each. The label is 1 if a touched module has
+    the difference of the snapshots' mean couplings (two ends per edge), over all modules of each. The label is 1 if a touched module has
     joined a cycle, or the growth above the trend exceeds the threshold; without a touched module in both it is null.
     """
     total = F.col("ca") + F.col("ce")
-    mean = lambda df, name: df.groupBy("snap").agg(F.avg(total).alias(name))
+    mean = lambda df, name: df.groupBy("snap").agg(F.avg(2 * F.col("ce")).alias(name))
     side = lambda df, t, c: df.select("snap", "module", total.alias(t), F.col("in_cycle").alias(c))
     told = touched.select("sample", "snap", "module").distinct()
     both = told.join(side(at_merge, "_a", "_ca"), ["snap", "module"]).join(side(future, "_b", "_cb"), ["snap", "module"])
