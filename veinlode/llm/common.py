@@ -36,11 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a short lineage that outlives any executor."""
+#: Session setting: rows that the JVM gathers for a Python worker at once.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: a short lineage that outlives any executor.
+
+    ``rows`` bounds the Arrow batches of this write alone, for plans that hand whole texts to Python.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows or before))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

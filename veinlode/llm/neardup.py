@@ -221,6 +221,8 @@ def visits(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return links
 
 
+#: Whole texts that a Python worker is handed at once.
+TEXTS = 500
 #: Full sets of one component that a task compares with visitors, and visitors that it compares them with.
 HOSTS, GUESTS = 200, 1000
 #: Least members of a block of an open bucket, and rows of such blocks that a task compares.
@@ -231,7 +233,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) ->
     """(id, key, n, head) of every row: ``head`` is the row of its group that stays, as struct<id, set, key>; null for
     rows that are linked with nothing."""
     need(docs, doc_id, text)
-    rows = materialise(sketched(docs, doc_id, text, size))
+    rows = materialise(sketched(docs, doc_id, text, size), TEXTS)
     named = rows.where(F.col("set").isNotNull() & F.col("id").isNotNull())
     classes = named.groupBy("set").agg(F.min(F.struct("id", "key")).alias("first"), F.min("sketch").alias("sketch"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("no"), "*"))
@@ -258,7 +260,7 @@ def linked(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, repeated
     members = materialise(bands.join(heads.select("bucket", "low", "high", "k"), "bucket"))
     wanted = members.select("no").distinct().join(classes.select("no", "first.id", "first.key"), "no")
     sets = shingle_sets(docs, doc_id, text, wanted, size)
-    sets = materialise(sets.groupBy("no").agg(F.first("shingles").alias("shingles")) if repeated else sets)
+    sets = materialise(sets.groupBy("no").agg(F.first("shingles").alias("shingles")) if repeated else sets, TEXTS)
 
     stars = members.select("no", F.explode(F.array("low", "high")).alias("head")).where("no <> head")
     tried = stars.select(F.least("no", "head").alias("u"), F.greatest("no", "head").alias("v")).distinct()
