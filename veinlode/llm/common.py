@@ -56,16 +56,17 @@ def materialise(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_split(big: DataFrame, small: DataFrame, key: str, own: F.Column, hot: int = 1000) -> DataFrame:
+def join_split(big: DataFrame, small: DataFrame, key: str, own: F.Column, hot: int = 1000, counted: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small``, one row per ``key``, without a hot key in one task.
 
     A key with over 1 / ``hot`` of the rows of ``big`` is split: its rows are dealt by the hash of ``own`` to parts of
     about that size, and its row of ``small`` is copied to each. There are fewer than ``hot`` such keys, which bounds
-    the table of them that is broadcast. Both sides are read more than once, so they should be written tables.
+    the table of them that is broadcast. Keys are counted in ``counted``, a written table (``big`` itself, where none is named).
     """
+    counted = big if counted is None else counted
     parts, part = fresh("_parts", [*big.columns, *small.columns]), fresh("_part", [*big.columns, *small.columns])
-    each = max(1.0, big.count() / hot)
-    common = big.groupBy(key).agg(F.count("*").alias(parts)).where(F.col(parts) > each).select(key, F.ceil(F.col(parts) / each).cast("int").alias(parts))
+    each = max(1.0, counted.count() / hot)
+    common = counted.groupBy(key).agg(F.count("*").alias(parts)).where(F.col(parts) > each).select(key, F.ceil(F.col(parts) / each).cast("int").alias(parts))
     common = F.broadcast(materialise(common))
     some = F.coalesce(F.pmod(F.xxhash64(own), F.col(parts)).cast("int"), F.lit(0))
     every = F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))

@@ -151,14 +151,18 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, siz
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * common >= percent * union."""
+    """The pairs (u, v), a written table, whose full sets have 100 * common >= percent * union.
+
+    The leader of a large bucket is in many pairs, on either side, so both joins split such keys.
+    """
     one = sets.select(F.col("no").alias("u"), F.col("shingles").alias("a"))
     two = sets.select(F.col("no").alias("v"), F.col("shingles").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     fits = (100 * F.least(F.size("a"), F.size("b")) >= percent * F.greatest(F.size("a"), F.size("b"))) & (
         100 * common >= percent * (F.size("a") + F.size("b") - common)
     )
-    return pairs.join(one, "u").join(two, "v").where(fits).select("u", "v")
+    first = join_split(pairs, one, "u", F.col("v"))
+    return join_split(first, two, "v", F.col("u"), counted=pairs).where(fits).select("u", "v")
 
 
 def matches(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +267,7 @@ def linked(docs: DataFrame, doc_id: str, text: str, classes: DataFrame, repeated
     sets = materialise(sets.groupBy("no").agg(F.first("shingles").alias("shingles")) if repeated else sets, TEXTS)
 
     stars = members.select("no", F.explode(F.array("low", "high")).alias("head")).where("no <> head")
-    tried = stars.select(F.least("no", "head").alias("u"), F.greatest("no", "head").alias("v")).distinct()
+    tried = materialise(stars.select(F.least("no", "head").alias("u"), F.greatest("no", "head").alias("v")).distinct())
     links = materialise(verified(tried, sets, percent))
     found = components(links)
     late = materialise(visitors(members, classes, sets, found, percent))
