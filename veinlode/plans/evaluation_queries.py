@@ -82,11 +82,11 @@ def ev10_set_scores(spark: SparkSession, d: str) -> DataFrame:
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
 
 
-@query(f"""WITH {P}, b AS (SELECT r, label, ('0x' || substr(md5('boot:' || r || ':' || sample_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM p, range(0, 50) x(r)),
+@query(f"""WITH {P}, b AS (SELECT r, label, ('0x' || substr(md5('boot:' || r || ':' || sample_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM p, range(0, 1000) x(r)),
 w AS (SELECT r, label, {" + ".join(f"(u >= {c})::INT" for c in POISSON)} AS w FROM b)
 SELECT CAST(r AS INTEGER) AS resample, round(sum(w * label)::DOUBLE / sum(w), 6) AS mean FROM w GROUP BY r""")
 def ev07_bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
-    return r6(ev.bootstrap_means(v.predictions(spark, d), "sample_id", "label", 50), "mean")
+    return r6(ev.bootstrap_means(v.predictions(spark, d), "sample_id", "label", 1000), "mean")
 
 
 @query(f"""WITH {P}, q AS (SELECT quantile_cont(score, [0.025, 0.975]) AS q FROM p) SELECT round(q[1], 6) AS low, round(q[2], 6) AS high FROM q""")
@@ -136,14 +136,14 @@ def ev17_krippendorff(spark: SparkSession, d: str) -> DataFrame:
     return r6(ev.krippendorff_ordinal(rated(spark, d), "unit", "v"), "alpha")
 
 
-@query(f"""WITH {P}, y AS (SELECT label, score AS a, 1 - abs(score - 0.6) AS b FROM p), g AS (SELECT x * 0.25::DOUBLE AS alpha FROM range(0, 5) t(x)),
+@query(f"""WITH {P}, y AS (SELECT label, score AS a, 1 - abs(score - 0.6) AS b FROM p), g AS (SELECT x / 20.0::DOUBLE AS alpha FROM range(0, 21) t(x)),
 l AS (SELECT alpha, label, round(1 / (1 + exp(-(alpha * ln(greatest(least(a, 1 - 1e-6), 1e-6) / (1 - greatest(least(a, 1 - 1e-6), 1e-6))) + (1 - alpha) * ln(greatest(least(b, 1 - 1e-6), 1e-6) / (1 - greatest(least(b, 1 - 1e-6), 1e-6)))))), 9) AS s FROM y, g),
 c AS (SELECT alpha, s, sum(label) AS h, count(*) AS n FROM l GROUP BY 1, 2),
 w AS (SELECT alpha, h, sum(h) OVER x AS tp, sum(n) OVER x AS seen, sum(h) OVER (PARTITION BY alpha) AS pos FROM c WINDOW x AS (PARTITION BY alpha ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
 SELECT alpha, round(sum(h::DOUBLE / pos * tp / seen), 6) AS ap FROM w GROUP BY alpha""")
 def ml06_late_fusion(spark: SparkSession, d: str) -> DataFrame:
     rows = v.predictions(spark, d).select("label", F.col("score").alias("a"), (1 - F.abs(F.col("score") - 0.6)).alias("b"))
-    return r6(ev.late_fusion(rows, "a", "b", [0.0, 0.25, 0.5, 0.75, 1.0]), "ap")
+    return r6(ev.late_fusion(rows, "a", "b", [i / 20 for i in range(21)]), "ap")
 
 
 @query(f"""WITH {P} SELECT CASE WHEN score >= 0.5 AND label = 1 THEN 'TP' WHEN score >= 0.5 THEN 'FP' WHEN label = 1 THEN 'FN' ELSE 'TN' END AS outcome, count(*) AS n FROM p GROUP BY 1""")

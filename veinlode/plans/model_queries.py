@@ -88,13 +88,13 @@ def ml05_fusion(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ml07_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d).withColumn("features", array_to_vector("x"))
-    return ml.probability(ml.boosted(rows, rounds=5), rows).select("vec_id", "label", "score")
+    return ml.probability(ml.boosted(rows), rows).select("vec_id", "label", "score")
 
 
 @query()
 def ml07_forest(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d).withColumn("features", array_to_vector("x"))
-    return ml.probability(ml.forest(rows, trees=50), rows).select("vec_id", "label", "score")
+    return ml.probability(ml.forest(rows), rows).select("vec_id", "label", "score")
 
 
 @query("SELECT p_partkey, round(1 / (1 + exp(-(p_size - 25) / 10.0::DOUBLE)), 9) AS score, (p_size - 25) / 10.0::DOUBLE >= 0.5 AS flagged FROM part")

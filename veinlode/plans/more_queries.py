@@ -185,22 +185,6 @@ def ev13_retrieval_scores(spark: SparkSession, d: str) -> DataFrame:
     return want.join(got, "q").select("q", F.round(hits / 3.0, 6).alias("p3"), F.round(hits / F.size("want"), 6).alias("r3"))
 
 
-@query(f"""WITH {P}, m AS (SELECT split, avg(label) AS a, avg(score) AS b FROM p GROUP BY 1) SELECT split, round(a, 4) AS prevalence, round(b, 4) AS mean_score, CASE WHEN a > b THEN 'below' ELSE 'above' END AS verdict FROM m""")
-def ev22_verdict(spark: SparkSession, d: str) -> DataFrame:
-    m = v.predictions(spark, d).groupBy("split").agg(F.avg("label").alias("a"), F.avg("score").alias("b"))
-    return m.select("split", F.round("a", 4).alias("prevalence"), F.round("b", 4).alias("mean_score"), F.when(F.col("a") > F.col("b"), "below").otherwise("above").alias("verdict"))
-
-
-@query(f"""WITH {P}, b AS (SELECT r, label, score, ('0x' || substr(md5('pair:' || r || ':' || sample_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM p, range(0, 20) x(r)),
-w AS (SELECT r, label, score FROM b WHERE u < 0.5) SELECT CAST(r AS INTEGER) AS resample, round(avg(score) - avg(label), 6) AS difference FROM w GROUP BY r""")
-def ev08_paired_comparison(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.columns import hash_unit
-
-    r = v.predictions(spark, d).select("sample_id", "label", "score", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("resample"))
-    kept = r.where(hash_unit(F.col("resample"), F.col("sample_id"), seed="pair") < 0.5)
-    return kept.groupBy("resample").agg(F.round(F.avg("score") - F.avg("label"), 6).alias("difference"))
-
-
 WEIGHTS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
 
 

@@ -70,15 +70,6 @@ def st06_observed_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return naive(out.where("event_at IS NOT NULL").select("sample_id", "event_at"), "event_at")
 
 
-@query("""WITH x AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN substr(text, 1, 20) END AS v FROM conversations)
-SELECT conv_id, turn, last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS context FROM x""")
-def st08_carried_context(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{d}/conversations.parquet"
-    stream = st.read(spark, path, table(spark, d, "conversations"))
-    rows = stream.select("conv_id", "turn", F.when(F.col("role") == "user", F.substring("text", 1, 20)).alias("v"))
-    return st.drain(st.carried_context(rows, "conv_id", "turn", "v"))
-
-
 @query("""WITH x AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text END AS v FROM conversations)
 SELECT conv_id, turn, last_value(nullif(v, '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS context FROM x""")
 def st08_whole_context(spark: SparkSession, d: str) -> DataFrame:

@@ -154,12 +154,12 @@ def fe05_diff_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT doc_id, lang = 'en' AS train, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents),
-f AS (SELECT doc_id, token, count(*) AS tf, bool_or(train) AS train FROM t GROUP BY 1, 2), v AS (SELECT token, count(*) AS df, sum(tf) AS a FROM f WHERE train GROUP BY 1 HAVING count(*) >= 3 ORDER BY a DESC, token LIMIT 2000),
+f AS (SELECT doc_id, token, count(*) AS tf, bool_or(train) AS train FROM t GROUP BY 1, 2), v AS (SELECT token, count(*) AS df, sum(tf) AS a FROM f WHERE train GROUP BY 1 HAVING count(*) >= 3 ORDER BY a DESC, token LIMIT 20000),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM t WHERE train), w AS (SELECT doc_id, token, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM f JOIN v USING (token), n)
 SELECT doc_id, count(*) AS terms, round(max(w / s), 6) AS heaviest FROM w JOIN (SELECT doc_id, sqrt(sum(w * w)) AS s FROM w GROUP BY 1) USING (doc_id) GROUP BY doc_id""")
 def fe06_tfidf(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", (F.col("lang") == "en").alias("train"), F.explode(c.words(F.col("text"))).alias("token"))
-    return fe.tfidf(t, "doc_id", "token", F.col("train"), 3, 2000).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"))
+    return fe.tfidf(t, "doc_id", "token", F.col("train"), 3, 20000).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"))
 
 
 @query("""WITH s AS (SELECT avg(ln(1 + n_chars)) AS m, greatest(stddev_pop(ln(1 + n_chars)), 1e-6) AS s FROM documents WHERE lang = 'en') SELECT doc_id, round((ln(1 + n_chars) - m) / s, 6) AS n_chars FROM documents, s""")
