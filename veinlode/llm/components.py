@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps, all in DataFrame joins.
 
-A hub's links stay spread: its smallest neighbour comes from a partial aggregation, and the join that
-brings it back to the links is a plain sort-merge join, which adaptive execution splits when skewed.
+A hub's smallest neighbour comes from a partial aggregation, and the join that
+brings it back to the links is a plain sort-merge join. That join shares its exchange with the aggregation,
+so the links of a hub still meet in one task.
 """
 
 from __future__ import annotations
