@@ -234,3 +234,23 @@ def test_grounding(spark):
     assert got[0] == {"citations": ["pr:1", "pr:2"], "unknown_citations": ["pr:2"], "unsupported_numbers": ["4.5"]}
     ids = spark.createDataFrame([("0.409. and v1.2.3 but 7",)], "t string").select(rt.unsupported(F.col("t"), F.array(F.lit(0.4091))).alias("u")).first().u
     assert ids == ["7"]
+
+
+def test_collection_edge_cases(spark):
+    from veinlode.operators import collection as co
+
+    paths = spark.createDataFrame([("a/b.pt",), ("a/../b.pt",), ("a/../../b.pt",), ("",), ("/b.pt",), (None,), ("./b.pt",)], "p string")
+    assert [r.x for r in paths.select(co.leaves_folder(F.col("p")).alias("x")).collect()] == [False, False, True, True, True, True, False]
+    now = "timestamp '2024-01-01 00:00:00'"
+    calls = spark.sql(f"SELECT * FROM VALUES (NULL, {now}), (11, {now}), (3, {now}), (0, NULL), (0, {now} - INTERVAL 9 SECOND), (0, {now} + INTERVAL 99 SECOND) t(r, s)")
+    got = [tuple(x.w) for x in calls.select(co.wait(F.col("r"), F.col("s"), F.expr(now), 10, 20).alias("w")).collect()]
+    assert got == [("go", None), ("go", None), ("low", None), ("unknown", None), ("wait", 1), ("too_long", 100)]
+    records = spark.createDataFrame([("a", "s", 1, "g.pt"), ("b", "s", 1, "g.pt"), ("c", None, 1, "g.pt"), ("d", "t", 2, "g.pt"), ("e", "u", 0, "../g.pt")], "path string, sample_id string, label int, graph_path string")
+    assert {r.path: r.problem for r in co.sample_problems(records).collect()} == {"b": "id", "c": "id", "d": "label", "e": "graph"}
+    pairs = spark.createDataFrame([("m", 0, "p"), ("m", 1, "h"), ("s", 0, "p"), ("q", 0, "p")], "sha string, position int, parent string")
+    asked = spark.createDataFrame([("m", "H", 9, "p"), ("s", None, 1, "x"), ("q", None, 2, None), ("gone", None, 1, None)], "sha string, head_sha string, commits int, before_sha string")
+    assert {r.sha: r.status for r in co.verified_pairs(asked, pairs).collect()} == {"m": "merge_head_verified", "s": "wrong_before", "q": "unverified", "gone": "unresolved"}
+    names = spark.createDataFrame([([1.0],)], "features array<double>").withColumn("feature_names", F.array(F.lit("a")))
+    assert co.load_packed(names, ["a"]).first().features == [1.0]
+    with pytest.raises(Exception, match="packed for other features"):
+        co.load_packed(names, ["b"]).collect()
