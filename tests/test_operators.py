@@ -254,3 +254,40 @@ def test_collection_edge_cases(spark):
     assert co.load_packed(names, ["a"]).first().features == [1.0]
     with pytest.raises(Exception, match="packed for other features"):
         co.load_packed(names, ["b"]).collect()
+
+
+def test_cards(spark):
+    from veinlode.operators import cards as cd
+
+    parts = spark.createDataFrame([("a", 0, "f", 0, "x"), ("a", 0, "f", 1, "y"), ("a", 1, "g", 2, "z"), ("a", 2, "moved", None, None), ("b", 0, "f", 0, "x")], "k string, place int, header string, hunk int, text string")
+    assert {r.k: r.diff for r in cd.rendered(parts, "k", F.lit(0)).collect()} == {"a": "f\ny\ng\nz\nmoved\n"}
+    assert {r.k: r.diff for r in cd.rendered(parts, "k", F.lit(2)).collect()} == {"a": "f\nx\ny\nmoved\n", "b": "f\nx\n"}
+    assert {r.k: r.diff for r in cd.rendered(parts, "k", F.lit(None).cast("int")).collect()} == {"a": "f\nx\ny\ng\nz\nmoved\n", "b": "f\nx\n"}
+    empty = "CAST(array() AS array<struct<question: string, answer: string>>)"
+    card = F.array(F.struct(F.lit("c").alias("id"), F.lit("T").alias("title"), F.lit("x").alias("text")))
+    one = spark.range(1)
+    assert one.select(cd.user_message(F.lit("q"), card, F.expr(empty)).alias("m")).first().m == "CARDS:\n\n[c] T\nx\n\nQUESTION: q"
+    turns = F.expr("transform(array('1', '2', '3'), x -> struct(x AS question, x AS answer))")
+    assert one.select(cd.user_message(F.lit("q"), card, turns).alias("m")).first().m == f"CARDS:\n\n[c] T\nx\n\n{cd.HISTORY}\n\nQ: 2\nA: 2\n\nQ: 3\nA: 3\n\nQUESTION: q"
+    twice = spark.createDataFrame([("c", "t")], "id string, title string")
+    assert cd.deck(twice).count() == 1
+    with pytest.raises(Exception, match="two cards are named c"):
+        cd.deck(twice, twice).collect()
+    calls = spark.createDataFrame([("s", "main", ["main.f", "mainly.g", "os.path"])], "by string, caller string, callees array<string>")
+    modules = spark.createDataFrame([("s", "main"), ("other", "os")], "by string, module string")
+    assert {r.callee: r.inner for r in cd.gold_edges(calls, modules, "by").collect()} == {"main.f": True, "mainly.g": False, "os.path": False}
+    layout = spark.createDataFrame([("r", "src/p/__init__.py"), ("r", "q/__init__.py"), ("t", "docs/__init__.py"), ("t", "q/__init__.py")], "repo string, path string")
+    assert {r.repo: (r.root, r.packages) for r in cd.source_layout(layout).collect()} == {"r": ("src", ["p"]), "t": (".", ["q"])}
+    assert [r.e for r in spark.createDataFrame([(None,), ("nothing here",)], "s string").select(cd.evidence_text(F.col("s")).alias("e")).collect()] == ["", ""]
+
+
+def test_predicted_triples(spark):
+    from veinlode.operators import cards as cd
+
+    nodes = spark.createDataFrame(
+        [("m", "module", "p\\a.py", "p.a"), ("f", "function", "p\\a.py", "p.a.f"), ("C", "class", "p\\a.py", "p.a.C"), ("x", "external", None, "os.walk"), ("y", "external", None, "p.gone"), ("E", "external", None, "Exception")],
+        "id string, type string, path string, qualified_name string",
+    )
+    edges = spark.createDataFrame([("f", "x", "CALLS"), ("f", "y", "CALLS"), ("f", "C", "CALLS"), ("C", "E", "INHERITS"), ("m", "f", "CONTAINS")], "source string, target string, type string")
+    got = {tuple(r) for r in cd.predicted_triples(edges, nodes, ["Exception"]).collect()}
+    assert got == {("p/a.py", "CALLS", "p.a.f", "p.gone"), ("p/a.py", "CALLS", "p.a.f", "p.a.C"), ("p/a.py", "INHERITS", "p.a.C", "builtins.Exception")}

@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import basic_queries, collection_queries, evaluation_queries, graph_queries, history_queries, model_queries, more_queries, score_queries, source_queries, stream_queries, text_queries  # noqa: F401
+    from . import basic_queries, card_queries, collection_queries, evaluation_queries, graph_queries, history_queries, model_queries, more_queries, score_queries, source_queries, stream_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
