@@ -291,3 +291,52 @@ def test_predicted_triples(spark):
     edges = spark.createDataFrame([("f", "x", "CALLS"), ("f", "y", "CALLS"), ("f", "C", "CALLS"), ("C", "E", "INHERITS"), ("m", "f", "CONTAINS")], "source string, target string, type string")
     got = {tuple(r) for r in cd.predicted_triples(edges, nodes, ["Exception"]).collect()}
     assert got == {("p/a.py", "CALLS", "p.a.f", "p.gone"), ("p/a.py", "CALLS", "p.a.f", "p.a.C"), ("p/a.py", "INHERITS", "p.a.C", "builtins.Exception")}
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Small tables keep all their ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_places_of_a_hot_group(spark, uncoalesced):
+    from veinlode.operators import places as pl
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, *range(400)]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, id int").repartition(5)
+    got = {r.id: (r._p, r._n) for r in pl.numbered(df, ["g"], ["v", "id"]).collect()}
+    down = {r.id: r._p for r in pl.numbered(df, ["g"], [F.desc("v"), "id"]).collect()}
+    for group in ("hot", "a", None):
+        of = [(v, i) for g, v, i in rows if g == group]
+        up = sorted(of, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        assert [got[i] for _, i in up] == [(p, len(of)) for p in range(len(of))]
+        assert [down[i] for _, i in sorted(of, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))] == list(range(len(of)))
+    assert pl.ranged(df, ["g"], ["id"]).where("g = 'hot'").select("_range").distinct().count() > 1
+    assert pl.numbered(df.limit(0), ["g"], ["v"]).count() == 0
+    alike = spark.range(999).select(F.lit("x").alias("g"), F.lit(1).alias("v"))
+    assert sorted(r._p for r in pl.numbered(alike, ["g"], ["v"]).collect()) == list(range(999))
+
+
+def test_as_of_over_a_hot_key(spark, uncoalesced):
+    rng = random.Random(6)
+    right = [(rng.choice(["hot", "hot", "b"]), rng.randrange(500), i) for i in range(400)]
+    left = [(rng.choice(["hot", "hot", "b", "none"]), rng.randrange(-9, 520), i) for i in range(900)]
+    l, r = spark.createDataFrame(left, "k string, at int, id int"), spark.createDataFrame(right, "k string, at int, v int")
+    got = {x.id: x.v for x in t.as_of(l, r, "k", "at", ["v"]).collect()}
+    for k, at, i in left:
+        seen = [(a, v) for g, a, v in right if g == k and a <= at]
+        assert got[i] == (max(seen)[1] if seen else None)
+
+
+def test_trailing_count_over_a_hot_key(spark, uncoalesced):
+    from datetime import datetime, timedelta
+
+    rng = random.Random(7)
+    rows = [(rng.choice(["hot", "hot", "b", None]), None if i % 50 == 0 else datetime(2024, 1, 1) + timedelta(hours=12 * rng.randrange(200)), i) for i in range(800)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, id int")
+    got = {r.id: r.n for r in t.trailing_count(df, "k", "at", 9, "n").collect()}
+    for k, at, i in rows:
+        assert got[i] == (None if at is None else sum(1 for g, x, _ in rows if g == k and x is not None and at - timedelta(days=9) <= x <= at))

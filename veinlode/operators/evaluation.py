@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import f1, hash_unit, ratio
+from .places import numbered
 
 
 def confusion(rows: DataFrame, by: list[str], threshold: float) -> DataFrame:
@@ -52,9 +53,8 @@ def roc_auc(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def precision_at(rows: DataFrame, by: list[str], tie: str, share: float = 0.2) -> DataFrame:
     """EV04, WN10: positives among the first ceil(share * n) rows by score, then ``tie``."""
-    w = Window.partitionBy(*by)
-    placed = rows.withColumn("_p", F.row_number().over(w.orderBy(F.desc("score"), tie))).withColumn("_n", F.count("*").over(w))
-    return placed.where(F.col("_p") <= F.ceil(F.col("_n") * share)).groupBy(*by).agg(F.avg("label").alias("precision_at"))
+    placed = numbered(rows, by, [F.desc("score"), tie])
+    return placed.where(F.col("_p") < F.ceil(F.col("_n") * share)).groupBy(*by).agg(F.avg("label").alias("precision_at"))
 
 
 def best_threshold(rows: DataFrame, by: list[str], rule: str = "lowest") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .places import numbered
+
 
 def temporal_split(merged: Column, horizon: Column, first: Column, second: Column) -> Column:
     """SP01: train if the horizon ends by the first cutoff, validation between the two, test from the second on; else purged."""
@@ -47,11 +49,9 @@ def greedy_split(sizes: DataFrame, group: str, size: str, seed: str, test: float
 
 def stratified_split(rows: DataFrame, key: str, label: str, seed: str, shares: tuple[float, float]) -> DataFrame:
     """SP07: train, validation and test by rank in hash order within each label."""
-    h = hash_order(F.col(key), seed)
-    w = Window.partitionBy(label)
-    place = (F.row_number().over(w.orderBy(h, key)) - 1) / F.count("*").over(w)
+    place = F.col("_p") / F.col("_n")
     split = F.when(place < shares[0], "train").when(place < shares[0] + shares[1], "validation").otherwise("test")
-    return rows.withColumn("split", split)
+    return numbered(rows, [label], [hash_order(F.col(key), seed), key]).withColumn("split", split).drop("_p", "_n")
 
 
 def cohort_report(rows: DataFrame, split: str, repo: str, label: str) -> DataFrame:
@@ -85,8 +85,7 @@ def alignment_problems(a: DataFrame, b: DataFrame, key: str, same: list[str]) ->
 
 def batches(rows: DataFrame, split: str, order: str, size: int) -> DataFrame:
     """WN12: batch numbers of at most ``size`` rows that never mix splits."""
-    n = F.row_number().over(Window.partitionBy(split).orderBy(order)) - 1
-    return rows.withColumn("batch", F.floor(n / size).cast("long"))
+    return numbered(rows, [split], [order]).withColumn("batch", F.floor(F.col("_p") / size).cast("long")).drop("_p", "_n")
 
 
 def split_by_repository(rows: DataFrame, cutoffs: DataFrame, repo: str) -> DataFrame:

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .places import carried, numbered, running
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
     """JN06: each left row with the values of the latest right row of its key at or before it; null if there is none.
 
-    Both sides go into one sorted run per key, so the work is n log n, not a range join. ``right`` has (key, at,
-    *values); of right rows at one time the one with the greatest values wins.
+    Both sides go into one sorted run, so the work is n log n, not a range join, and a hot key's run is spread over ranges.
+    ``right`` has (key, at, *values); of right rows at one time the one with the greatest values wins.
     """
     l = left.withColumn("_row", F.struct(*left.columns)).select(key, F.col(at).alias("_t"), F.lit(1).alias("_side"), "_row", F.lit(None).alias("_v"))
     r = right.select(key, F.col(at).alias("_t"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.struct(*values).alias("_v"))
     both = l.drop("_v").unionByName(r.drop("_row"), allowMissingColumns=True)
-    run = Window.partitionBy(key).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_found", F.last("_v", ignorenulls=True).over(run)).where("_side = 1")
+    seen = carried(both, [key], ["_t", "_side", "_v"], "_v", "_found").where("_side = 1")
     return seen.select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
@@ -50,9 +51,17 @@ def interval_overlap(left: DataFrame, right: DataFrame, key: str, width: int) ->
 
 
 def trailing_count(rows: DataFrame, key: str, at: str, days: int, name: str) -> DataFrame:
-    """ST07, FE11: rows of the key in the ``days`` days up to and including each row."""
-    w = Window.partitionBy(key).orderBy(F.col(at).cast("long")).rangeBetween(-days * 86400, 0)
-    return rows.withColumn(name, F.count("*").over(w))
+    """ST07, FE11: rows of the key in the ``days`` days up to and including each row; null without a time.
+
+    The rows up to each second are summed over ranges, and those before the days are looked up, so a hot key isn't in one task.
+    """
+    second = F.col(at).cast("long")
+    ticks = rows.where(F.col(at).isNotNull()).groupBy(key, second.alias("_s")).agg(F.count("*").alias("_k"))
+    sums = running(ticks, [key], ["_s"], "_k", "_c").drop("_k")
+    asked = sums.withColumn("_t", F.col("_s") - days * 86400 - 1)
+    both = as_of(asked, sums.select(key, F.col("_s").alias("_t"), F.col("_c").alias("_old")), key, "_t", ["_old"])
+    counts = both.select(F.col(key).alias("_key"), "_s", (F.col("_c") - F.coalesce("_old", F.lit(0))).alias(name))
+    return rows.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (second == F.col("_s")), "left").drop("_key", "_s")
 
 
 def ranked_cut(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -63,15 +72,13 @@ def ranked_cut(rows: DataFrame, by: list[str], order: list[Column], k: int) -> D
 
 def nearest_rank(rows: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
     """WN08: the value at place ceil(share * n) of each group."""
-    w = Window.partitionBy(*by)
-    n, place = F.count("*").over(w), F.row_number().over(w.orderBy(value))
-    return rows.select(*by, value, n.alias("_n"), place.alias("_p")).where(F.col("_p") == F.ceil(F.col("_n") * share)).select(*by, F.col(value).alias("cutoff"))
+    placed = numbered(rows.select(*by, value), by, [value])
+    return placed.where(F.col("_p") + 1 == F.ceil(F.col("_n") * share)).select(*by, F.col(value).alias("cutoff"))
 
 
 def evenly(rows: DataFrame, by: list[str], order: list[str], count: int) -> DataFrame:
     """WN03: ``count`` rows of each group spread over its order, at places floor(i * n / count); all if there are fewer."""
-    w = Window.partitionBy(*by)
-    at = rows.withColumn("_n", F.count("*").over(w)).withColumn("_p", F.row_number().over(w.orderBy(*order)) - 1)
+    at = numbered(rows, by, order)
     # Place p is floor(i * n / count) for some i just where the floor of p * count / n, rounded up, leads back to it.
     i = F.ceil(F.col("_p") * F.lit(count) / F.col("_n"))
     hit = (F.floor(i * F.col("_n") / F.lit(count)) == F.col("_p")) & (i < count)
@@ -80,8 +87,7 @@ def evenly(rows: DataFrame, by: list[str], order: list[str], count: int) -> Data
 
 def chronological_cutoffs(rows: DataFrame, by: str, at: str, shares: tuple[float, float]) -> DataFrame:
     """WN02, SP06: per group the times at places min(n - 2, max(1, ceil(n * first))) and the like for the second share."""
-    w = Window.partitionBy(by)
-    placed = rows.select(by, at, F.count("*").over(w).alias("_n"), (F.row_number().over(w.orderBy(at)) - 1).alias("_p"))
+    placed = numbered(rows.select(by, at), [by], [at])
     place = lambda share, least: F.least(F.col("_n") - 1, F.greatest(F.lit(least), F.ceil(F.col("_n") * share)))
     one = F.least(F.col("_n") - 2, F.greatest(F.lit(1), F.ceil(F.col("_n") * shares[0])))
     pick = lambda p: F.max(F.when(F.col("_p") == p, F.col(at)))
