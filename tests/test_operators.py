@@ -340,3 +340,16 @@ def test_trailing_count_over_a_hot_key(spark, uncoalesced):
     got = {r.id: r.n for r in t.trailing_count(df, "k", "at", 9, "n").collect()}
     for k, at, i in rows:
         assert got[i] == (None if at is None else sum(1 for g, x, _ in rows if g == k and x is not None and at - timedelta(days=9) <= x <= at))
+
+
+def test_resumed_and_window_coverage(spark):
+    from veinlode.operators import collection as co
+
+    pages = spark.createDataFrame([("a", 1, 2), ("a", 2, 2), ("a", 3, 2), ("b", 1, 1), ("c", 1, 5)], "repo string, page int, n int")
+    state = spark.createDataFrame([("a", 1, False), ("b", None, False), ("c", None, True), ("d", None, False)], "repo string, cursor int, completed boolean")
+    assert {r.repo: tuple(r)[1:] for r in co.resumed(pages, state, 2).collect()} == {"a": (2, 2, False), "b": (1, None, True), "c": (0, None, True), "d": (0, None, True)}
+    nodes = spark.createDataFrame([("a", 1, 1, 9), ("a", 2, 6, 7), ("a", 3, 11, 12), ("a", 4, 2, 4), ("b", 1, 1, 5), ("b", 2, 2, 50)], "repo string, page int, created int, merged int")
+    spans = spark.createDataFrame([("a", 5, 10), ("b", 5, 10)], "repo string, start int, end int")
+    got = {r.repo: tuple(r)[1:] for r in co.window_coverage(nodes, spans, 9).collect()}
+    assert got == {"a": (3, 3, 2, True, "created_after_window_end"), "b": (2, 2, 1, True, "connection_exhausted")}
+    assert [tuple(r)[1:] for r in co.window_coverage(nodes, spans, 1).collect()] == [(1, 1, 1, False, None)] * 2

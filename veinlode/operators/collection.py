@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.history import changes
@@ -164,3 +164,67 @@ def reuse(live: DataFrame, stored: DataFrame, key: str, revision: Sequence[str])
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     action = F.when(F.col("_there").isNull(), "prepare").when(same, "reuse").otherwise("refuse")
     return live.join(old, key, "left").select(key, action.alias("action"))
+
+
+def resumed(pages: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    """IO06: (repo, retrieved, cursor, completed) after a run that reads pages (repo, page, n) behind the stored cursor until it has
+    ``most`` rows. A completed repository isn't read again; the cursor is null once there is no further page."""
+    ahead = pages.join(state, "repo").where(~F.col("completed") & F.coalesce(F.col("page") > F.col("cursor"), F.lit(True))).select("repo", "page", "n")
+    run = Window.partitionBy("repo").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # a row per page
+    read = ahead.withColumn("_before", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    taken = F.col("_before") < most
+    done = read.groupBy("repo").agg(F.sum(F.when(taken, F.col("n"))).alias("_k"), F.max(F.when(taken, F.col("page"))).alias("_at"), F.max("page").alias("_end"))
+    over = F.col("completed") | F.col("_end").isNull() | (F.col("_at") == F.col("_end"))
+    out = state.join(done, "repo", "left")
+    return out.select("repo", F.coalesce("_k", F.lit(0)).alias("retrieved"), F.when(~over, F.col("_at")).alias("cursor"), over.alias("completed"))
+
+
+def window_coverage(nodes: DataFrame, windows: DataFrame, most_pages: int) -> DataFrame:
+    """IO07: (repo, pages, scanned, collected, completed, reason) of a traversal by creation time that stops with the page that
+    holds a row created after the window's end; collected are the rows merged inside the window.
+
+    ``nodes``: (repo, page, created, merged); ``windows``: (repo, start, end). Without such a page the traversal is complete
+    only when no page is left within ``most_pages``.
+    """
+    rows = nodes.join(windows, "repo")
+    pages = rows.groupBy("repo", "page").agg(
+        F.count("*").alias("n"), F.count_if(F.col("merged").between(F.col("start"), F.col("end"))).alias("k"), F.max((F.col("created") > F.col("end")).cast("int")).alias("past")
+    )
+    before = Window.partitionBy("repo").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # a row per page
+    walked = pages.withColumns({"_seen": F.coalesce(F.max("past").over(before), F.lit(0)), "_i": F.count("*").over(before)})
+    read = (F.col("_seen") == 0) & (F.col("_i") < most_pages)
+    took = lambda c: F.coalesce(F.sum(F.when(read, F.col(c))), F.lit(0))
+    total = walked.groupBy("repo").agg(F.count_if(read).alias("pages"), took("n").alias("scanned"), took("k").alias("collected"), took("past").alias("_past"), F.count("*").alias("_all"))
+    reason = F.when(F.col("_past") > 0, "created_after_window_end").when(F.col("pages") == F.col("_all"), "connection_exhausted")
+    return total.select("repo", "pages", "scanned", "collected", reason.isNotNull().alias("completed"), reason.alias("reason"))
+
+
+def audit_summary(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """LB11: one row of counts over audited change sets.
+
+    ``rows``: (sample_id, status, files_match, followup, provisional); ``changes``: (sample_id, status, syntax, structural), the production
+    files of each. Only rows of status ``audited`` count beyond ``records``.
+    """
+    kind = F.substring("status", 1, 1)
+    of = changes.groupBy("sample_id").agg(
+        F.bool_or(kind == "D").alias("_d"), F.bool_or(kind == "R").alias("_r"), F.bool_or(F.col("syntax") == "unresolved").alias("_u"),
+        F.bool_or(kind.isin("A", "D", "R", "C") | F.col("structural")).alias("_s"),
+    )
+    ok, production = F.col("status") == "audited", F.col("_d").isNotNull()
+    n = lambda test, name: F.count_if(ok & test).alias(name)
+    late = production & F.col("followup")
+    return rows.join(of, "sample_id", "left").agg(
+        F.count("*").alias("records"), n(F.lit(True), "audited"), n(production, "production"), n(~F.col("files_match"), "count_mismatches"), n(F.col("_d"), "with_deletions"),
+        n(F.col("_r"), "with_renames"), n(F.col("_u"), "with_parse_errors"), n(late, "full_followup"), n(late & ~F.col("provisional") & F.col("files_match"), "checks_passed"), n(F.col("_s"), "review_candidates"),
+    )
+
+
+def with_fallback(answer: Column, error: Column, second: Column, names: tuple[str, str]) -> Column:
+    """XR24: struct<answer, used, note>: the first model's answer, or the second's where the first had an error of the model or of its
+    rate; other errors give no answer."""
+    why = F.when(error == "model", "is not available to this key").when(error == "rate", "is rate-limited right now")
+    note = F.concat(F.lit(f"{names[0]} "), why, F.lit(f"; answered with {names[1]}."))
+    took = why.isNotNull() & second.isNotNull()
+    return F.struct(
+        F.when(error.isNull(), answer).when(took, second).alias("answer"), F.when(error.isNull(), names[0]).when(took, names[1]).alias("used"), F.when(error.isNull(), "").when(took, note).alias("note")
+    )

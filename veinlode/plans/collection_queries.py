@@ -228,3 +228,46 @@ def sx20_live_samples(spark: SparkSession, d: str) -> DataFrame:
     live = table(spark, d, "orders").select(k.alias("sample_id"), F.when(k % 5 > 0, F.col("o_custkey")).alias("head"), F.col("o_orderstatus").alias("base"))
     stored = live.where("sample_id % 3 <> 0").withColumn("base", F.when(F.col("sample_id") % 4 == 1, "Z").otherwise(F.col("base")))
     return co.reuse(live, stored, "sample_id", ["head", "base"])
+
+
+@query("""WITH p AS (SELECT o_custkey AS repo, o_orderkey // 400 AS page, count(*) AS n FROM orders GROUP BY 1, 2), s AS (SELECT c_custkey AS repo, CASE WHEN c_custkey % 3 = 0 THEN 1 END AS cur, c_custkey % 7 = 0 AS done FROM customer),
+a AS (SELECT repo, page, n, sum(n) OVER (PARTITION BY repo ORDER BY page) - n AS b, max(page) OVER (PARTITION BY repo) AS last FROM p JOIN s USING (repo) WHERE NOT done AND page > coalesce(cur, -1)),
+t AS (SELECT repo, sum(n) FILTER (b < 4) AS k, max(page) FILTER (b < 4) AS pos, max(last) AS last FROM a GROUP BY 1)
+SELECT s.repo, coalesce(k, 0)::BIGINT AS retrieved, CASE WHEN pos < last THEN pos END AS cursor, last IS NULL OR pos = last AS completed FROM s LEFT JOIN t USING (repo)""")
+def io06_resumed(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("repo"), F.floor(F.col("o_orderkey") / 400).alias("page")).agg(F.count("*").alias("n"))
+    k = F.col("c_custkey")
+    return co.resumed(pages, table(spark, d, "customer").select(k.alias("repo"), F.when(k % 3 == 0, 1).alias("cursor"), (k % 7 == 0).alias("completed")), 4)
+
+
+@query("""WITH n AS (SELECT user_id AS repo, hour(ts) // 6 + 4 * (date_diff('day', TIMESTAMP '2024-01-01', ts) // 5) AS page, ts AS created, ts + to_hours((event_id % 200)::INT) AS merged FROM events),
+g AS (SELECT repo, page, count(*) AS n, count(*) FILTER (merged BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20') AS k, bool_or(created > TIMESTAMP '2024-01-20') AS past FROM n GROUP BY 1, 2),
+w AS (SELECT *, coalesce(bool_or(past) OVER x, false) AS seen, count(*) OVER x AS i FROM g WINDOW x AS (PARTITION BY repo ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT repo, count(*) FILTER (NOT seen AND i < 14) AS pages, coalesce(sum(n) FILTER (NOT seen AND i < 14), 0)::BIGINT AS scanned, coalesce(sum(k) FILTER (NOT seen AND i < 14), 0)::BIGINT AS collected, coalesce(bool_or(past) FILTER (NOT seen AND i < 14), false) AS past, count(*) AS a FROM w GROUP BY 1)
+SELECT repo, pages, scanned, collected, past OR pages = a AS completed, CASE WHEN past THEN 'created_after_window_end' WHEN pages = a THEN 'connection_exhausted' END AS reason FROM r""")
+def io07_window_coverage(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    page = F.floor(F.hour("ts") / 6) + 4 * F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 5)
+    nodes = e.select(F.col("user_id").alias("repo"), page.alias("page"), F.col("ts").alias("created"), (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 200).cast("int"))).alias("merged"))
+    day = lambda x: F.lit(f"2024-01-{x:02d}").cast("timestamp_ntz")
+    return co.window_coverage(nodes, e.select(F.col("user_id").alias("repo")).distinct().select("repo", day(3).alias("start"), day(20).alias("end")), 14)
+
+
+@query("""WITH c AS (SELECT l_orderkey AS k, bool_or(l_returnflag = 'R') AS r, bool_or(l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity > 40) AS d, bool_or(l_tax > 0.07) AS u, bool_or(l_returnflag IN ('A', 'R') OR l_discount > 0.09) AS s FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1),
+o AS (SELECT o_orderkey AS k, o_orderkey % 10 > 0 AS ok, o_orderkey % 4 > 0 AS m, o_orderkey % 3 > 0 AS f, o_orderkey % 5 = 0 AS p FROM orders), j AS (SELECT o.*, c.k IS NOT NULL AS has, r, d, u, s FROM o LEFT JOIN c USING (k))
+SELECT count(*) AS records, count(*) FILTER (ok) AS audited, count(*) FILTER (ok AND has) AS production, count(*) FILTER (ok AND NOT m) AS count_mismatches, count(*) FILTER (ok AND d) AS with_deletions, count(*) FILTER (ok AND r) AS with_renames,
+count(*) FILTER (ok AND u) AS with_parse_errors, count(*) FILTER (ok AND has AND f) AS full_followup, count(*) FILTER (ok AND has AND f AND NOT p AND m) AS checks_passed, count(*) FILTER (ok AND s) AS review_candidates FROM j""")
+def lb11_audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    k, flag = F.col("o_orderkey"), F.col("l_returnflag")
+    rows = table(spark, d, "orders").select(k.alias("sample_id"), F.when(k % 10 > 0, "audited").otherwise("git_or_evidence_error").alias("status"), (k % 4 > 0).alias("files_match"), (k % 3 > 0).alias("followup"), (k % 5 == 0).alias("provisional"))
+    status = F.when(flag == "R", "R090").when((flag == "A") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 40), "D").when(flag == "A", "A").otherwise("M")
+    lines = table(spark, d, "lineitem").where("l_suppkey % 3 = 0")  # production files
+    return co.audit_summary(rows, lines.select(F.col("l_orderkey").alias("sample_id"), status.alias("status"), F.when(F.col("l_tax") > 0.07, "unresolved").otherwise("parsed").alias("syntax"), (F.col("l_discount") > 0.09).alias("structural")))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'a' WHEN event_id % 4 < 3 AND event_id % 5 > 0 THEN 'b' END AS answer, CASE WHEN event_id % 4 = 0 THEN 'big' WHEN event_id % 4 < 3 AND event_id % 5 > 0 THEN 'small' END AS used,
+CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 < 3 AND event_id % 5 > 0 THEN 'big ' || CASE WHEN event_id % 4 = 1 THEN 'is not available to this key' ELSE 'is rate-limited right now' END || '; answered with small.' END AS note FROM events""")
+def xr24_fallback(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    error = F.when(i % 4 == 1, "model").when(i % 4 == 2, "rate").when(i % 4 == 3, "network")
+    return table(spark, d, "events").select(i, co.with_fallback(F.lit("a"), error, F.when(i % 5 > 0, "b"), ("big", "small")).alias("x")).select("event_id", "x.*")
