@@ -353,3 +353,15 @@ def test_resumed_and_window_coverage(spark):
     got = {r.repo: tuple(r)[1:] for r in co.window_coverage(nodes, spans, 9).collect()}
     assert got == {"a": (3, 3, 2, True, "created_after_window_end"), "b": (2, 2, 1, True, "connection_exhausted")}
     assert [tuple(r)[1:] for r in co.window_coverage(nodes, spans, 1).collect()] == [(1, 1, 1, False, None)] * 2
+
+
+def test_written_graph(spark, tmp_path):
+    from veinlode.operators import relations as rl
+
+    edge = "src string, dst string, relation string"
+    before, after = spark.createDataFrame([("a", "b", "CALLS"), ("b", "c", "CALLS")], edge), spark.createDataFrame([("a", "b", "CALLS"), ("a", "c", "IMPORTS")], edge)
+    done = rl.write_graph(before, after, ["src", "dst", "relation"], spark.createDataFrame([("c",), ("c",), (None,)], "node string"), str(tmp_path))
+    assert done["metrics"].first().asDict() == {"edges": 2, "touched": 1, "added": 1, "removed": 1}
+    assert {(r.dst, r.touched) for r in done["graph"].collect()} == {("b", False), ("c", True)}
+    again = rl.write_graph(before, before, ["src", "dst", "relation"], spark.createDataFrame([], "node string"), str(tmp_path))  # replaced
+    assert again["metrics"].first().asDict() == {"edges": 2, "touched": 0, "added": 0, "removed": 0}

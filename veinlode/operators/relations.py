@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.store import write_tables
 
 
 def lookup(rows: DataFrame, other: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
@@ -101,3 +102,18 @@ def overlap(a: DataFrame, b: DataFrame, by: Sequence[str], item: str) -> DataFra
 def outside(rows: DataFrame, allowed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SO05: rows that break the claim that all of them are allowed."""
     return rows.select(*keys).distinct().join(allowed.select(*keys), list(keys), "left_anti")
+
+
+def write_graph(before: DataFrame, after: DataFrame, keys: Sequence[str], touched: DataFrame, root: str) -> dict[str, DataFrame]:
+    """SX03: a sample's later graph, its added and removed edges, and one row of counts, written below ``root``.
+
+    ``touched`` has the changed nodes as ``node``; an edge counts as touched if either of the first two keys is one.
+    """
+    a, b = keys[:2]
+    ends = touched.select("node").distinct()
+    near = after.join(ends.withColumnRenamed("node", "_a").withColumn("_x", F.lit(True)), F.col(a) == F.col("_a"), "left").join(ends.withColumnRenamed("node", "_b").withColumn("_y", F.lit(True)), F.col(b) == F.col("_b"), "left")
+    graph = near.withColumn("touched", F.coalesce("_x", "_y", F.lit(False))).drop("_a", "_b", "_x", "_y")
+    done = write_tables(root, graph=graph, delta=differences(before, after, keys))
+    sides = done["delta"].agg(F.count_if(F.col("side") == "added").alias("added"), F.count_if(F.col("side") == "removed").alias("removed"))
+    counts = done["graph"].agg(F.count("*").alias("edges"), F.count_if("touched").alias("touched")).crossJoin(sides)  # one row each
+    return done | write_tables(root, metrics=counts)

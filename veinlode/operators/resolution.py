@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.store import cut
+from ..sources.python_source import extract
+from ..sources.store import cut, write_tables
 
 
 def packages(files: DataFrame) -> DataFrame:
@@ -116,3 +117,12 @@ def syntax_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     a, b = F.coalesce("a", empty), F.coalesce("b", empty)
     return both.select("path", F.array_sort(F.array_except(b, a)).alias("added"), F.array_sort(F.array_except(a, b)).alias("removed"))
+
+
+def write_analysis(files: DataFrame, root: str) -> dict[str, DataFrame]:
+    """SX01: facts, graph and node features of files (snapshot_id, path, source, module), written as the tables nodes, edges and
+    features below ``root``, a shared folder, and read from there."""
+    facts = cut(extract(files))
+    found = cut(nodes(facts))
+    links = cut(edges(facts, found))
+    return write_tables(root, nodes=found, edges=links, features=node_features(found, links))

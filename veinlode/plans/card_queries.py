@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..operators import cards as cd
 from ..operators import evaluation as ev
 from ..operators import relations as rl
+from ..operators import resolution as rs
 from ..sources import store
 from ..sources.store import table
 from . import views as v
 from .collection_queries import shared
-from .model_queries import graph
+from .model_queries import graph, sources
 from .registry import query
 from .source_queries import PART
 
@@ -235,3 +236,17 @@ def ml14_export_problems(spark: SparkSession, d: str) -> DataFrame:
     vector = F.when(k % 11 == 0, F.array(F.lit(1.0))).when(k % 17 == 0, F.array(F.lit(1.0), F.lit(float("nan")))).otherwise(F.array(F.lit(1.0), F.lit(2.0)))
     samples = e.select("vec_id", F.when(k % 7 == 0, "purged").otherwise("train").alias("split"))
     return cd.export_problems(e.where(k % 13 > 0).select("vec_id", vector.alias("vector")), samples, "vec_id", "vector", 2)
+
+
+@query("SELECT t AS artefact, n * (SELECT count(*) FROM part) + x AS n FROM (VALUES ('nodes', 5, 5), ('edges', 9, 0), ('features', 5, 5)) v(t, n, x)")
+def sx01_analysis(spark: SparkSession, d: str) -> DataFrame:
+    done = rs.write_analysis(rs.with_modules(sources(spark, d)), shared(spark, "sx01"))
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("artefact"), "n") for name, df in done.items()]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query(f"""WITH {E}, a AS (SELECT src, dst, relation FROM edges WHERE year = 1996), b AS (SELECT src, dst, relation FROM edges WHERE year = 1995)
+SELECT (SELECT count(*) FROM a) AS edges, (SELECT count(*) FROM a WHERE src % 3 = 0 OR dst % 3 = 0) AS touched, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS added, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS removed""")
+def sx03_written_graph(spark: SparkSession, d: str) -> DataFrame:
+    touched = v.modules(spark, d).where("module % 3 = 0").select(F.col("module").alias("node"))
+    return rl.write_graph(v.edges(spark, d, 1995), v.edges(spark, d, 1996), ["src", "dst", "relation"], touched, shared(spark, "sx03"))["metrics"]

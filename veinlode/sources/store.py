@@ -97,3 +97,10 @@ def cut_sections(text: DataFrame) -> DataFrame:
 def totals_by_folder(rows: DataFrame, path: str, value: str) -> DataFrame:
     """IO25: the sum of a value by the first segment of the path."""
     return rows.groupBy(F.split(path, "/")[0].alias("folder")).agg(F.sum(value).alias("total"))
+
+
+def write_tables(root: str, **frames: DataFrame) -> dict[str, DataFrame]:
+    """SX01, SX03: each table as Parquet below ``root``, replaced where it is there, and read from there."""
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    return {name: df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}") for name, df in frames.items()}
