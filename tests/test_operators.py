@@ -365,3 +365,22 @@ def test_written_graph(spark, tmp_path):
     assert {(r.dst, r.touched) for r in done["graph"].collect()} == {("b", False), ("c", True)}
     again = rl.write_graph(before, before, ["src", "dst", "relation"], spark.createDataFrame([], "node string"), str(tmp_path))  # replaced
     assert again["metrics"].first().asDict() == {"edges": 2, "touched": 0, "added": 0, "removed": 0}
+
+
+def test_greedy_split_by_hand(spark, uncoalesced):
+    import hashlib
+
+    from veinlode.operators import splits as sp
+
+    rng = random.Random(8)
+    rows = [(f"r{i}", rng.choice([1, 3, 50])) for i in range(300)]
+    total, before, rest, want = sum(n for _, n in rows), 0, 0, {}
+    for g, n in sorted(rows, key=lambda x: hashlib.sha256(f"s:{x[0]}".encode()).hexdigest()):
+        if before < total * 0.2:
+            want[g] = "test"
+        else:
+            want[g] = "validation" if rest < total * 0.3 else "train"
+            rest += n
+        before += n
+    assert {r.g: r.split for r in sp.greedy_split(spark.createDataFrame(rows, "g string, n int"), "g", "n", "s", 0.2, 0.3).collect()} == want
+    assert sp.greedy_split(spark.createDataFrame([], "g string, n int"), "g", "n", "s", 0.2, 0.3).count() == 0

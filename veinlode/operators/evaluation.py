@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import f1, hash_unit, ratio
-from .places import numbered
+from .places import numbered, running
 
 
 def confusion(rows: DataFrame, by: list[str], threshold: float) -> DataFrame:
@@ -135,8 +135,7 @@ def signed_ranks(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """EV16: Wilcoxon's statistic (smaller rank sum), zero differences dropped, ties at their mean rank."""
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
     c = d.groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = c.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = running(c, [], ["m"], "n", "_c").withColumn("rank", F.col("_c") - F.col("n") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("minus"))
     return s.withColumn("statistic", F.least("plus", "minus"))
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .places import numbered
+from .places import numbered, running
 
 
 def temporal_split(merged: Column, horizon: Column, first: Column, second: Column) -> Column:
@@ -34,16 +33,14 @@ def greedy_split(sizes: DataFrame, group: str, size: str, seed: str, test: float
     """WN04, SP05: groups in hash order fill test until it has its share, then validation, then train.
 
     A group goes to test while the rows before it are below the target; validation fills in the same way from
-    the groups that test leaves. One row per group: the windows run over groups, not samples.
+    the groups that test leaves. Test is a run from the start of the order, so what lies before a group of the rest is
+    the running sum less all of test. Sums run over ranges of groups.
     """
-    w = Window.orderBy("_h")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    all_ = F.sum(size).over(Window.partitionBy())
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    a = sizes.withColumn("_h", hash_order(F.col(group), seed)).withColumn("_all", all_)
-    a = a.withColumn("_test", zero(F.sum(size).over(before)) < F.col("_all") * test)
-    a = a.withColumn("_rest", zero(F.sum(F.when(~F.col("_test"), F.col(size))).over(before)))
-    split = F.when(F.col("_test"), "test").when(F.col("_rest") < F.col("_all") * validation, "validation").otherwise("train")
+    sums = running(sizes.withColumn("_h", hash_order(F.col(group), seed)), [], ["_h", group], size, "_c")
+    before = F.col("_c") - F.coalesce(F.col(size), F.lit(0))
+    a = sums.crossJoin(sizes.agg(F.sum(size).alias("_all"))).withColumn("_test", before < F.col("_all") * test)  # one row of totals
+    a = a.crossJoin(a.agg(F.coalesce(F.sum(F.when(F.col("_test"), F.col(size))), F.lit(0)).alias("_taken")))
+    split = F.when(F.col("_test"), "test").when(before - F.col("_taken") < F.col("_all") * validation, "validation").otherwise("train")
     return a.select(group, size, split.alias("split"))
 
 
