@@ -384,3 +384,26 @@ def test_greedy_split_by_hand(spark, uncoalesced):
         before += n
     assert {r.g: r.split for r in sp.greedy_split(spark.createDataFrame(rows, "g string, n int"), "g", "n", "s", 0.2, 0.3).collect()} == want
     assert sp.greedy_split(spark.createDataFrame([], "g string, n int"), "g", "n", "s", 0.2, 0.3).count() == 0
+
+
+def test_facts_are_handed_on_every_few_hundred_files(spark):
+    """A batch of ten thousand files made one batch of all their facts, in Python and again in the JVM."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    files = [{"snapshot_id": "s", "path": f"m{k}.py", "module": f"m{k}", "source": f"X{k} = 1\ndef f():\n    return X{k}\n" if k % 7 else None} for k in range(1300)]
+    schema = to_arrow_schema(StructType.fromDDL(ps.FACTS))
+    out = list(ps.fact_batches(iter([pa.RecordBatch.from_pylist(files)]), schema))
+    assert len(out) == 3 and max(b.num_rows for b in out) <= 4 * 500
+    rows = [r for b in out for r in b.to_pylist()]
+    assert {r["path"] for r in rows if r["kind"] == "symbol" and r["type"] == "module"} == {f["path"] for f in files}
+    assert {r["target"] for r in rows if r["kind"] == "global"} == {f"m{k}.X{k}" for k in range(1300) if k % 7}
+
+
+def test_the_walk_of_a_definition_keeps_branches_operators_and_imports():
+    code = "def f(a):\n    import os\n    if a and not a or a > 1:\n        match a:\n            case 1:\n                from p import q\n    return [q(x) for x in a if x]\n"
+    rows = ps.Reader("s", "m.py", "m").read(code)
+    assert [r["complexity"] for r in rows if r.get("type") == "function"] == [5]
+    assert {r["target"] for r in rows if r["kind"] == "import"} == {"os", "p.q"}
+    assert [(r["name"], r["target"], r["via_import"]) for r in rows if r["kind"] == "call"] == [("q", "p.q", True)]
