@@ -407,3 +407,18 @@ def test_the_walk_of_a_definition_keeps_branches_operators_and_imports():
     assert [r["complexity"] for r in rows if r.get("type") == "function"] == [5]
     assert {r["target"] for r in rows if r["kind"] == "import"} == {"os", "p.q"}
     assert [(r["name"], r["target"], r["via_import"]) for r in rows if r["kind"] == "call"] == [("q", "p.q", True)]
+
+
+def test_numbers_are_written_as_printf_and_cents_as_decimals(spark):
+    x = [-0.04, -0.004, 0.0, -0.0, 0.125, 0.375, 2.675, 1.005, 0.015, 0.145, 0.995, 0.996, -9.999, 1234567.895, 2.0**53 + 2, 4503599627370495.5, 1e17, None]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    got = df.select("x", *[c.fixed(F.col("x"), p, s).alias(f"f{p}{s}") for p in (0, 2, 3) for s in (False, True)]).collect()
+    for r in got:
+        for p in (0, 2, 3):
+            assert r[f"f{p}False"] == (None if r.x is None else f"{r.x:.{p}f}")
+            assert r[f"f{p}True"] == (None if r.x is None else f"{r.x:+.{p}f}")
+    odd = spark.createDataFrame([(1e300,), (float("inf"),), (float("nan"),)], "x double")
+    assert [r.f.split(".")[0] for r in odd.select(c.fixed(F.col("x"), 2).alias("f")).collect()] == ["1" + "0" * 300, "Infinity", "NaN"]
+    cents = [(-0.04, "0.0"), (-0.05, "-0.1"), (0.04, "+0.0"), (-0.0, "+0.0"), (0.25, "+0.3"), (-999.85, "-999.9"), (9999.95, "+10000.0"), (None, None)]
+    df = spark.createDataFrame(cents, "x double, want string")
+    assert [(r.x, r.s) for r in df.select("x", c.signed_cents(F.col("x"), 1).alias("s")).collect()] == cents

@@ -269,7 +269,7 @@ def sf04_plain_dashes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey, format('{:.2f}', c_acctbal) AS fixed, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '' END || CAST(CAST(CAST(c_acctbal AS DECIMAL(15, 2)) AS DECIMAL(15, 1)) AS VARCHAR) AS signed FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE c_custkey % 3 = 0")
 def sf05_number_formats(spark: SparkSession, d: str) -> DataFrame:
     x = F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal"))
-    return table(spark, d, "customer").select("c_custkey", c.fixed(x, 2).alias("fixed"), c.fixed(x, 1, signed=True).alias("signed"))
+    return table(spark, d, "customer").select("c_custkey", c.fixed(x, 2).alias("fixed"), c.signed_cents(x, 1).alias("signed"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate - INTERVAL 2 HOUR END AS moment FROM orders")
