@@ -422,3 +422,19 @@ def test_numbers_are_written_as_printf_and_cents_as_decimals(spark):
     cents = [(-0.04, "0.0"), (-0.05, "-0.1"), (0.04, "+0.0"), (-0.0, "+0.0"), (0.25, "+0.3"), (-999.85, "-999.9"), (9999.95, "+10000.0"), (None, None)]
     df = spark.createDataFrame(cents, "x double, want string")
     assert [(r.x, r.s) for r in df.select("x", c.signed_cents(F.col("x"), 1).alias("s")).collect()] == cents
+
+
+def test_a_paired_comparison_draws_each_sample_once(spark):
+    """A filter on the drawn weight had every hash computed again, once for each step of the weight."""
+    import hashlib
+    from math import exp, factorial
+
+    df = spark.createDataFrame([(k, k % 2, 0.25 * (k % 5), 0.5 * (k % 3)) for k in range(40)], "id long, label int, a double, b double")
+    out = ev.paired_comparison(df.withColumnRenamed("a", "score"), df.withColumnRenamed("b", "score"), "id", 30)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan and not any("Filter" in line and "md5" in line for line in plan.split("\n"))
+    steps = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(7)]
+    u = lambda r, k: int(hashlib.md5(f"pair:{r}:{k}".encode()).hexdigest()[:12], 16) / 16**12
+    drawn = ev.resampled(df, 30).select("resample", "id", ev.poisson_weight("id", "pair").alias("w")).collect()
+    assert {(r.resample, r.id): r.w for r in drawn} == {(r, k): sum(u(r, k) >= t for t in steps) for r in range(30) for k in range(40)}
+    assert out.first().resamples == 30

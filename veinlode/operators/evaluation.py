@@ -5,11 +5,13 @@ Rows are first counted by distinct score, so the windows run over scores, and a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import f1, hash_unit, ratio
+from ..functions.columns import f1, hash_hex, ratio
 from .places import numbered, running
 
 
@@ -29,6 +31,8 @@ def by_score(rows: DataFrame, by: list[str], weight: str | None = None) -> DataF
     """Counts of each distinct score, and the running and total ones from the highest score on; a row counts ``weight`` times."""
     w = F.lit(1) if weight is None else F.col(weight)
     s = rows.groupBy(*by, "score").agg(F.sum(F.col("label").cast("long") * w).alias("hits"), F.sum(w).alias("n"))
+    if weight is not None:
+        s = s.where("n > 0")
     down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy(*by)
     return s.withColumns(
@@ -86,12 +90,13 @@ def set_scores(found: DataFrame, gold: DataFrame, keys: list[str], by: list[str]
 
 def poisson_weight(key: str, seed: str) -> F.Column:
     """How often ``resample`` draws a row: Poisson(1) from a shared hash."""
-    u = hash_unit(F.col("resample"), F.col(key), seed=seed)
+    u = hash_hex(F.col("resample"), F.col(key), seed=seed)
     steps, term, total = F.lit(0), 1.0, 0.0
     for k in range(1, 8):  # Poisson(1): cumulative e^-1 / k!
         total += 0.36787944117144233 * term
         term /= k
-        steps = F.when(u >= total, F.lit(k)).otherwise(steps)
+        # Every step is looked at, so that the hash is computed once a row.
+        steps = steps + (u >= F.lit(f"{math.ceil(total * 16**12):012x}")).cast("int")
     return steps
 
 
@@ -110,7 +115,10 @@ def paired_comparison(ours: DataFrame, other: DataFrame, key: str, resamples: in
     """EV08: mean difference of average precision of two models (key, label, score), ours less the other, and the share
     of resamples that ours wins. Both are weighted by the same Poisson draws of the samples that both have."""
     both = ours.select(key, "label", F.col("score").alias("_a")).join(other.select(key, F.col("score").alias("_b")), key)
-    drawn = resampled(both, resamples).withColumn("_w", poisson_weight(key, seed)).where("_w > 0")
+    # Few rows become many in place, so they are dealt to all cores first. Draws are summed by label and pair of scores, the
+    # zeros too: a filter on the weight would have every hash computed again.
+    spread = both.repartition(3 * both.sparkSession.sparkContext.defaultParallelism)
+    drawn = resampled(spread, resamples).groupBy("resample", "label", "_a", "_b").agg(F.sum(poisson_weight(key, seed)).alias("_w"))
     scores = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_{m}").alias("score")) for m in "ab"]))
     ap = average_precision(drawn.select("resample", "label", "_w", scores.alias("s")).select("resample", "label", "_w", "s.*"), ["resample", "model"], "_w")
     d = ap.groupBy("resample").agg(F.sum(F.when(F.col("model") == "a", F.col("ap")).otherwise(-F.col("ap"))).alias("d"))
