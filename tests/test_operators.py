@@ -438,3 +438,24 @@ def test_a_paired_comparison_draws_each_sample_once(spark):
     drawn = ev.resampled(df, 30).select("resample", "id", ev.poisson_weight("id", "pair").alias("w")).collect()
     assert {(r.resample, r.id): r.w for r in drawn} == {(r, k): sum(u(r, k) >= t for t in steps) for r in range(30) for k in range(40)}
     assert out.first().resamples == 30
+
+
+def test_files_and_facts_are_never_broadcast(spark, monkeypatch):
+    """The planner takes a million generated files for a few MB, under its limit, and the driver had to hold all of them."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    real = store.cut
+    monkeypatch.setattr(rs, "cut", lambda df: (plan(df), real(df))[1])
+    name = F.concat(F.lit("src/p/m"), F.col("id").cast("string"), F.lit(".py"))
+    code = F.concat(F.lit("from p import f\ndef g"), F.col("id").cast("string"), F.lit("():\n    return f()\n"))
+    files = spark.range(3).select(F.lit("s").alias("snapshot_id"), name.alias("path"), code.alias("source"))
+    files = files.union(spark.createDataFrame([("s", "src/p/__init__.py", "from p.a import f\n"), ("s", "src/p/a.py", "def f():\n    pass\n")], files.schema))
+    named = rs.with_modules(files)
+    facts = store.cut(ps.extract(named))
+    found = store.cut(rs.nodes(facts))
+    links = rs.edges(facts, found)
+    plan(named)
+    plan(links)
+    # two rounds of re-exports, the resolved uses, with_modules, edges
+    assert len(plans) == 5 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    assert {(r.source, r.target) for r in links.where("type = 'CALLS'").collect()} == {(f"src/p/m{k}.py:p.m{k}.g{k}", "src/p/a.py:p.a.f") for k in range(3)}

@@ -10,6 +10,11 @@ from ..sources.python_source import extract
 from ..sources.store import cut, write_tables
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides are never broadcast: the planner takes files and facts for as small as the table that they are made from."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def packages(files: DataFrame) -> DataFrame:
     """AX02: (snapshot_id, folder) of the folders with an __init__.py."""
     return files.where(F.col("path").endswith("/__init__.py")).select("snapshot_id", F.regexp_replace("path", "/__init__.py$", "").alias("folder")).distinct()
@@ -21,10 +26,10 @@ def with_modules(files: DataFrame) -> DataFrame:
     depth = files.withColumn("_p", parts).withColumn("_d", F.explode(F.sequence(F.lit(0), F.size("_p") - 1)))
     folder = F.when(F.col("_d") > 0, F.concat_ws("/", F.slice("_p", 1, F.col("_d"))))
     known = packages(files).withColumnRenamed("folder", "_f").withColumn("_is", F.lit(True))
-    seen = depth.withColumn("_f", folder).join(known, ["snapshot_id", "_f"], "left")
+    seen = joined(depth.withColumn("_f", folder), known, ["snapshot_id", "_f"], "left")
     # The deepest folder that is no package: names start below it.
     top = seen.where("_is IS NULL").groupBy("snapshot_id", "path").agg(F.max("_d").alias("_top"))
-    named = files.withColumn("_p", parts).join(top, ["snapshot_id", "path"])
+    named = joined(files.withColumn("_p", parts), top, ["snapshot_id", "path"])
     name = F.slice("_p", F.col("_top") + 1, F.size("_p") - F.col("_top"))
     name = F.when((F.element_at(name, -1) == "__init__") & (F.size(name) > 1), F.slice(name, 1, F.size(name) - 1)).otherwise(name)
     return named.select(*files.columns, F.concat_ws(".", name).alias("module"))
@@ -54,18 +59,18 @@ def resolve(uses: DataFrame, found: DataFrame, facts: DataFrame, rounds: int = 5
     alias = alias.groupBy("snapshot_id", "_from").agg(F.min("_onto").alias("_onto"))
     keys = uses.select("snapshot_id", "target").where("target IS NOT NULL").distinct().withColumn("_at", F.col("target"))
     for _ in range(rounds):
-        known = keys.join(names.select("snapshot_id", F.col("target").alias("_at"), F.lit(True).alias("_is")), ["snapshot_id", "_at"], "left")
+        known = joined(keys, names.select("snapshot_id", F.col("target").alias("_at"), F.lit(True).alias("_is")), ["snapshot_id", "_at"], "left")
         parts = known.where("_is IS NULL").withColumn("_p", F.split("_at", r"\.")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_p"))))
         parts = parts.withColumn("_from", F.concat_ws(".", F.slice("_p", 1, F.col("_k"))))
-        hit = cut(parts.join(alias, ["snapshot_id", "_from"]).where(F.col("_onto") != F.col("_from")))
+        hit = cut(joined(parts, alias, ["snapshot_id", "_from"]).where(F.col("_onto") != F.col("_from")))
         if hit.isEmpty():
             break
         rest = F.concat_ws(".", F.slice("_p", F.col("_k") + 1, F.size("_p")))
         new = F.when(rest == "", F.col("_onto")).otherwise(F.concat_ws(".", "_onto", rest))
         moved = hit.groupBy("snapshot_id", "target").agg(F.max_by(new, "_k").alias("_new"))
-        keys = keys.join(moved, ["snapshot_id", "target"], "left").select("snapshot_id", "target", F.coalesce("_new", "_at").alias("_at"))
-    final = keys.join(names.withColumnRenamed("target", "_at"), ["snapshot_id", "_at"]).select("snapshot_id", "target", F.col("_id").alias("to"), F.col("_type").alias("to_type"))
-    return uses.join(final, ["snapshot_id", "target"], "left")
+        keys = joined(keys, moved, ["snapshot_id", "target"], "left").select("snapshot_id", "target", F.coalesce("_new", "_at").alias("_at"))
+    final = joined(keys, names.withColumnRenamed("target", "_at"), ["snapshot_id", "_at"]).select("snapshot_id", "target", F.col("_id").alias("to"), F.col("_type").alias("to_type"))
+    return joined(uses, final, ["snapshot_id", "target"], "left")
 
 
 def edges(facts: DataFrame, found: DataFrame) -> DataFrame:
@@ -79,8 +84,8 @@ def edges(facts: DataFrame, found: DataFrame) -> DataFrame:
     contains = found.where("parent_id IS NOT NULL").select("snapshot_id", F.col("parent_id").alias("source"), F.col("id").alias("target"), F.lit("CONTAINS").alias("type"))
     modules = found.where("type = 'module'").select("snapshot_id", F.col("qualified_name").alias("_m"), F.col("id").alias("_mid"))
     imports = facts.where("kind = 'import'").select("snapshot_id", "id", "target", "from_module")
-    imports = imports.join(modules.select("snapshot_id", F.col("_m").alias("target"), F.col("_mid").alias("_a")), ["snapshot_id", "target"], "left")
-    imports = imports.join(modules.select("snapshot_id", F.col("_m").alias("from_module"), F.col("_mid").alias("_b")), ["snapshot_id", "from_module"], "left")
+    imports = joined(imports, modules.select("snapshot_id", F.col("_m").alias("target"), F.col("_mid").alias("_a")), ["snapshot_id", "target"], "left")
+    imports = joined(imports, modules.select("snapshot_id", F.col("_m").alias("from_module"), F.col("_mid").alias("_b")), ["snapshot_id", "from_module"], "left")
     outside = F.concat(F.lit("external:"), F.coalesce("from_module", "target"))
     imports = imports.withColumn("to", F.coalesce("_a", "_b", outside))
     retype = lambda kind: F.when(F.col("to_type") == "global_variable", "ACCESSES_GLOBAL").otherwise(kind)
@@ -88,7 +93,7 @@ def edges(facts: DataFrame, found: DataFrame) -> DataFrame:
     uses = cut(resolve(uses, found, facts))
     calls = uses.where("kind = 'call'")
     short = unique_names(found.where("type IN ('function', 'method', 'class')"), "name").select("snapshot_id", "name", F.col("_id").alias("_sid"), F.col("_type").alias("_stype"))
-    calls = calls.join(short, ["snapshot_id", "name"], "left")
+    calls = joined(calls, short, ["snapshot_id", "name"], "left")
     loose = F.col("to").isNull() & ~F.coalesce("via_import", F.lit(False))
     calls = calls.withColumn("to_type", F.when(loose, F.col("_stype")).otherwise(F.col("to_type"))).withColumn("to", F.when(loose, F.col("_sid")).otherwise(F.col("to")))
     bases, uses = uses.where("kind = 'inherit'"), uses.where("kind = 'global' AND to_type = 'global_variable'")
