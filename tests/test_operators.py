@@ -459,3 +459,12 @@ def test_files_and_facts_are_never_broadcast(spark, monkeypatch):
     # two rounds of re-exports, the resolved uses, with_modules, edges
     assert len(plans) == 5 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
     assert {(r.source, r.target) for r in links.where("type = 'CALLS'").collect()} == {(f"src/p/m{k}.py:p.m{k}.g{k}", "src/p/a.py:p.a.f") for k in range(3)}
+
+
+def test_node_features_are_joined_without_broadcasts(spark):
+    found = spark.sql("SELECT 's' AS snapshot_id, id FROM VALUES ('a'), ('b'), ('c') AS t(id)")
+    links = spark.sql("SELECT 's' AS snapshot_id, * FROM VALUES ('a', 'b', 'CALLS'), ('a', 'b', 'CONTAINS'), ('b', 'a', 'IMPORTS') AS t(source, target, type)")
+    out = rs.node_features(store.cut(found), store.cut(links))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r.id: (r.out_degree, r.in_degree, r.calls) for r in out.collect()} == {"a": (2, 1, 1), "b": (1, 2, 0), "c": (0, 0, 0)}

@@ -111,7 +111,7 @@ def node_features(found: DataFrame, links: DataFrame) -> DataFrame:
     """AX21: nodes with in- and out-degree and out-degree by relation, 0 where there is none."""
     out = links.groupBy("snapshot_id", F.col("source").alias("id")).agg(F.count("*").alias("out_degree"), *[F.count_if(F.col("type") == k).alias(k.lower()) for k in KINDS])
     into = links.groupBy("snapshot_id", F.col("target").alias("id")).agg(F.count("*").alias("in_degree"))
-    both = found.join(out, ["snapshot_id", "id"], "left").join(into, ["snapshot_id", "id"], "left")
+    both = joined(joined(found, out, ["snapshot_id", "id"], "left"), into, ["snapshot_id", "id"], "left")
     return both.fillna(0, ["out_degree", "in_degree", *[k.lower() for k in KINDS]])
 
 
