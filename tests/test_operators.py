@@ -456,8 +456,8 @@ def test_files_and_facts_are_never_broadcast(spark, monkeypatch):
     links = rs.edges(facts, found)
     plan(named)
     plan(links)
-    # two rounds of re-exports, the resolved uses, with_modules, edges
-    assert len(plans) == 5 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    # two rounds of re-exports, the names' nodes, the resolved uses, with_modules, edges
+    assert len(plans) == 6 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
     assert {(r.source, r.target) for r in links.where("type = 'CALLS'").collect()} == {(f"src/p/m{k}.py:p.m{k}.g{k}", "src/p/a.py:p.a.f") for k in range(3)}
 
 

@@ -70,6 +70,7 @@ def resolve(uses: DataFrame, found: DataFrame, facts: DataFrame, rounds: int = 5
         moved = hit.groupBy("snapshot_id", "target").agg(F.max_by(new, "_k").alias("_new"))
         keys = joined(keys, moved, ["snapshot_id", "target"], "left").select("snapshot_id", "target", F.coalesce("_new", "_at").alias("_at"))
     final = joined(keys, names.withColumnRenamed("target", "_at"), ["snapshot_id", "_at"]).select("snapshot_id", "target", F.col("_id").alias("to"), F.col("_type").alias("to_type"))
+    final = cut(final)  # both sides are dealt anew, so that the uses of a frequent name can be split over tasks
     return joined(uses, final, ["snapshot_id", "target"], "left")
 
 
