@@ -468,3 +468,14 @@ def test_node_features_are_joined_without_broadcasts(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert {r.id: (r.out_degree, r.in_degree, r.calls) for r in out.collect()} == {"a": (2, 1, 1), "b": (1, 2, 0), "c": (0, 0, 0)}
+
+
+def test_predicted_triples_are_joined_without_broadcasts(spark):
+    from veinlode.operators import cards as cd
+
+    nodes = spark.sql("SELECT * FROM VALUES ('m', 'module', 'p/a.py', 'p.a'), ('f', 'function', 'p/a.py', 'p.a.f'), ('x', 'external', NULL, 'os.walk'), ('y', 'external', NULL, 'p.gone'), ('z', NULL, NULL, 'p.odd'), ('n', 'external', NULL, NULL) AS t(id, type, path, qualified_name)")
+    edges = spark.sql("SELECT 'f' AS source, *, 'CALLS' AS type FROM VALUES ('f'), ('x'), ('y'), ('z'), ('n') AS t(target)")
+    out = cd.predicted_triples(store.cut(edges), store.cut(nodes), [])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(r.name for r in out.collect()) == ["p.a.f", "p.gone", "p.odd"]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import fixed, sigmoid
+from ..sources.store import cut
+from .resolution import joined
 
 # Wordings of the cards.
 RISEN_CYCLE = "True label: 1 (degrading). Within {m} months after the merge, a module this PR touched joined a new import cycle{g}."
@@ -100,13 +102,15 @@ def predicted_triples(edges: DataFrame, nodes: DataFrame, builtins: Sequence[str
     Calls of what is neither a known symbol nor in one of the graph's packages go; a base that is a builtin gets its module's name.
     """
     head = lambda x: F.split(x, r"\.")[0]
+    inner = F.coalesce(F.col("_t").isin(INTERNAL_TYPES), F.lit(False))
     ends = nodes.select(F.col("id").alias("target"), F.col("type").alias("_t"), F.col("qualified_name").alias("_n"))
     starts = nodes.select(F.col("id").alias("source"), F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), F.col("qualified_name").alias("_s"))
-    packages = nodes.where("type = 'module'").select(head(F.col("qualified_name")).alias("_p")).distinct().withColumn("_known", F.lit(True))
-    rows = edges.where(F.col("type").isin(SCORED_RELATIONS)).join(starts, "source").join(ends, "target")
-    rows = rows.withColumn("_p", head(F.col("_n"))).join(packages, "_p", "left")
-    inner = F.col("_t").isin(INTERNAL_TYPES)
-    rows = rows.where((F.col("type") != "CALLS") | inner | F.col("_known").isNotNull())
+    # Written first, so that a package of many names can be split; only names that are no symbol look theirs up.
+    packages = cut(nodes.where("type = 'module'").select(head(F.col("qualified_name")).alias("_p")).distinct().withColumn("_known", F.lit(True)))
+    outer = joined(ends.where(~inner).withColumn("_p", head(F.col("_n"))), packages, ["_p"], "left").drop("_p")
+    ends = ends.where(inner).withColumn("_known", F.lit(True)).unionByName(outer)
+    rows = joined(joined(edges.where(F.col("type").isin(SCORED_RELATIONS)), starts, ["source"]), ends, ["target"])
+    rows = rows.where((F.col("type") != "CALLS") | F.col("_known").isNotNull())
     name = F.when((F.col("type") == "INHERITS") & ~inner & F.col("_n").isin(list(builtins)), F.concat(F.lit("builtins."), F.col("_n"))).otherwise(F.col("_n"))
     return rows.select("path", F.col("type").alias("relation"), F.col("_s").alias("source"), name.alias("name")).distinct()
 
